@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldhouse.llm import decontaminate, piece_codec
+from fieldhouse.llm import chat, decontaminate, language_id, piece_codec, quality, sharding, url_filter, warc
 from fieldhouse.llm.util import table
 
 
@@ -12,17 +12,44 @@ def model_file() -> str:
     """The public piece model; a parameter of the operator."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op1_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.contract(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.contract(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.contract(table(spark, sf_dir, "pages"))
+
+
+def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.contract(table(spark, sf_dir, "documents"))
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.contract(table(spark, sf_dir, "documents"), str(model_file()))
+    return piece_codec.contract(table(spark, sf_dir, "documents"), model_file())
+
+
+def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.contract(table(spark, sf_dir, "conversations"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.contract(table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op7_piece_codec, op10_decontaminate)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_trees, op2_virtual_slots, op3_warc_archive, op4_quality_outliers, op7_piece_codec, op8_chat_round_trip, op9_language_id, op10_decontaminate)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc_archive": warc.ORACLE_SQL, "op8_chat_round_trip": chat.ORACLE_SQL}
