@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldhouse.llm import chat, decontaminate, language_id, piece_codec, quality, sharding, substring_dedup, url_filter, warc
+from fieldhouse.llm import chat, decontaminate, language_id, near_dup, piece_codec, quality, sharding, substring_dedup, url_filter, warc
 from fieldhouse.llm.util import table
 
 
@@ -31,6 +31,10 @@ def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.contract(table(spark, sf_dir, "documents"))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.contract(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.contract(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_trees, op2_virtual_slots, op3_warc_archive, op4_quality_outliers, op6_suffix_dedup, op7_piece_codec, op8_chat_round_trip, op9_language_id, op10_decontaminate)
+    for f in (op1_url_trees, op2_virtual_slots, op3_warc_archive, op4_quality_outliers, op5_chosen_path, op6_suffix_dedup, op7_piece_codec, op8_chat_round_trip, op9_language_id, op10_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_warc_archive": warc.ORACLE_SQL, "op8_chat_round_trip": chat.ORACLE_SQL}
