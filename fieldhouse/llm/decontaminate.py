@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldhouse.llm.util import WordCodes, byte_values, chunks, ids_and_texts
+from fieldhouse.llm.util import WordCodes, byte_values, chunks, ids_and_texts, small_batches
 
 N = 10
 BLOCK_BYTES = 16_000_000
@@ -171,6 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     """docs without contaminated documents (mode "document") or without the hit words (mode "span"); same columns.
 
     In span mode the text from a hit range's first word to its last is cut out, block after block."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
     at = schema.fieldNames().index("text")
     out = docs
@@ -217,3 +218,17 @@ def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+ORACLE_SQL = r"""
+WITH dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bwin AS (SELECT DISTINCT item_id, least(10, len(w)) AS l, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0) x),
+ls AS (SELECT DISTINCT l FROM bwin),
+dwin AS (SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS win FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, ls WHERE len(w) >= l) x),
+hit AS (SELECT doc_id, i, l, item_id FROM dwin JOIN bwin USING (l, win)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hit) x GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) x GROUP BY doc_id)
+SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id
+"""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldhouse.llm.util import chunks
+from fieldhouse.llm.util import chunks, small_batches
 
 BUCKETS, DIMENSION, SIZES = 1 << 14, 16, (1, 2, 3, 4)
 MOST_ROWS, EPOCHS, LEAST_STEPS, RATE, BATCH, PRECISION = 3000, 12, 500, 2.0, 64, 0.98
@@ -143,6 +143,7 @@ def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, seed: int = 7) -> Model
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and rejected (score below the calibrated one, or no letter)."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -33,7 +33,7 @@ NONE = float("-inf")
 SHORT = 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts remembered per worker; forgetting costs time only.
-MOST_PARTS = 500_000
+MOST_PARTS = 150_000
 
 
 def _fields(data: bytes):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldhouse.llm.util import WordCodes, byte_values, chunks, mixed, written
+from fieldhouse.llm.util import WordCodes, byte_values, chunks, mixed, small_batches, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -82,6 +82,7 @@ def repeated(lists: list[np.ndarray]) -> np.ndarray:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and COUNTS of every whole text."""
+    small_batches(docs.sparkSession)
     source = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"))))
 
     def run(batches):

@@ -60,4 +60,10 @@ QUERIES = {
     for f in (op1_url_trees, op2_virtual_slots, op3_warc_archive, op4_quality_outliers, op5_chosen_path, op6_suffix_dedup, op7_piece_codec, op8_chat_round_trip, op9_language_id, op10_decontaminate)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc_archive": warc.ORACLE_SQL, "op8_chat_round_trip": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_archive": warc.ORACLE_SQL,
+    "op5_chosen_path": near_dup.ORACLE_SQL,
+    "op6_suffix_dedup": substring_dedup.ORACLE_SQL,
+    "op8_chat_round_trip": chat.ORACLE_SQL,
+    "op10_decontaminate": decontaminate.ORACLE_SQL,
+}

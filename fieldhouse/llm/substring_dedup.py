@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldhouse.llm.substrings import LENGTH, Segmenter, repeated_starts
-from fieldhouse.llm.util import byte_values, chunks, mixed
+from fieldhouse.llm.util import byte_values, chunks, mixed, small_batches
 
 #: Bytes of open runs that are suffix-sorted together; different runs of an anchor up to which they are.
 BLOCK_BYTES, MOST_RUNS = 1_500_000, 5_000
@@ -215,6 +215,7 @@ def _resolved(opened: DataFrame, length: int, block_bytes: int) -> DataFrame:
 
 def _cuts(docs: DataFrame, names: list[str], length: int, most_runs: int, block_bytes: int) -> DataFrame:
     """docs as columns k, then the columns of `names` renamed c0, c1, ..., then the places of its repeats (two arrays)."""
+    small_batches(docs.sparkSession)
     judged = _judged(_runs(docs, length), most_runs)
     found = judged.groupBy("k").agg(F.collect_list(F.struct("kind", "place", "h")).alias("rows"))
     texts = docs.select(_key().alias("k"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
@@ -291,3 +292,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RU
 
     renamed = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
     return _cuts(docs, names, length, most_runs, block_bytes).mapInArrow(run, renamed).toDF(*names)
+
+
+ORACLE_SQL = """
+WITH h AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, n, CAST(i AS INT) AS i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN i + 100 <= n THEN md5_number(substr(h, 2 * i + 1, 200)) END AS m FROM (SELECT *, unnest(range(0, n)) AS i FROM h) y),
+d AS (SELECT doc_id, i, x, m IS NOT NULL AND row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1 AS again FROM b),
+c AS (SELECT doc_id, i, x, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM d),
+f AS (SELECT doc_id, i, x, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM f GROUP BY doc_id)
+SELECT h.doc_id, h.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN g ON g.doc_id = h.doc_id
+"""

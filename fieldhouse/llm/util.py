@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step in a Python worker handles at a time.
 CHUNK_BYTES = 2_000_000
+#: Rows with texts in one Arrow batch.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows in an Arrow batch from now on: rows with texts are large, and workers hold a few batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """Only the two columns that document operators read; other columns, whatever their names, are pruned."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -69,7 +79,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordCodes(dict):
     """word -> 64-bit code, computed on first use. It forgets all when it holds too many words: that costs time only."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
