@@ -7,12 +7,14 @@ picked position, named by the document's token there. Two sets of similarity s m
 about 1 - exp(-s / threshold), at least 0.63 at the threshold, so with 16 trees a pair that must be found at depth 1, 2 or
 3 is missed with probability about 1e-7, 4e-5 or 6e-4 at the threshold, and less above it.
 
-1. In every node of depth 1 all members are compared to the smallest one. Sketches (2 bits of each token) discard pairs
-   that cannot reach the threshold; the rest are confirmed on full sets of the texts. Groups of copies become connected
-   here with few pairs for each member, whatever their size.
-2. Nodes whose members are all in one component are done. Of the others, those with at most `small` members are compared
-   exhaustively across components, and larger ones branch again, to a depth of `deepest`, where what is left is compared
-   exhaustively too. Found pairs are confirmed on full sets.
+1. In every node of depth 1 all members are compared to one of them, the least in a random order. Sketches (2 bits of each
+   token) discard pairs that cannot reach the threshold; the rest are confirmed on full sets of the texts. A member meets a
+   handful of others this way, whatever the size of its group; where a share q of the pairs of a group is too far apart,
+   about q^ORDERS of its members are left over.
+2. Nodes whose members are all in one component are done. Of the others, those with few pairs across components (`small`
+   bounds their number for a member) are compared exhaustively: the members outside the largest component with all others.
+   The rest branch again, to a depth of `deepest`, where what is left is compared exhaustively too. Found pairs are
+   confirmed on full sets.
 3. Components of the confirmed links are found by star contraction.
 
 No pair inside a component is looked at again, since it could change nothing. Nodes are never gathered: sizes and smallest
@@ -31,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldhouse.llm.components import components
-from fieldhouse.llm.util import WordCodes, byte_values, mixed, written
+from fieldhouse.llm.util import WordCodes, byte_values, mixed, small_batches, written
 
 SIZE, TREES, SMALL, DEEPEST = 64, 16, 100, 8
+#: Random orders among which a node picks the one whose least member is compared to all.
+ORDERS = 6
 #: Differing 2-bit symbols out of SIZE beyond which a pair is discarded: at a similarity of 0.8 their number is 9.6 on
 #: average with a deviation of 2.9, so one pair in 10^8 is lost here; unrelated pairs have 46.
 MOST_DIFFERENT = 27
@@ -170,46 +174,63 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, n
 
 def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = TREES, small: int = SMALL, deepest: int = DEEPEST) -> DataFrame:
     """k (doc_id, the smallest long for null), n_shingles and component_id of every document."""
+    small_batches(docs.sparkSession)
     every = written(sets(docs, width), "sets")
     full = every.filter("n > 0")
     firsts = full.groupBy("d1", "d2", "n").agg(F.min("k").alias("k"), F.first("tokens").alias("tokens"))
     firsts = written(firsts, "set-firsts")
     members = _branched(firsts.select("k", "tokens"), threshold, trees)
 
-    # 1. every member against its node's smallest
-    nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("k", "s1", "s2")).alias("least")).filter("size > 1")
-    crowd = written(members.join(nodes, "node").select("node", "k", "s1", "s2", "size", F.col("least.k").alias("p"), F.col("least.s1").alias("p1"), F.col("least.s2").alias("p2")), "nodes")
-    stars = crowd.filter(F.col("k") != F.col("p")).filter(_near(crowd, "s", "p")).select(F.col("p").alias("a"), F.col("k").alias("b"))
-    links = confirmed(stars, docs, width, threshold, "stars")
-    found = written(components(links), "components-1")
+    # nodes of a single member are done
+    sizes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    crowd = written(members.join(sizes, "node").select("node", "k", "s1", "s2", "size"), "nodes")
+
+    def stars(rows: DataFrame) -> DataFrame:
+        """Each member with its node's least member in one of ORDERS random orders, which the node picks."""
+        order = F.xxhash64("k", F.pmod("node", F.lit(ORDERS)))
+        least = rows.withColumn("order", order).groupBy("node").agg(F.min(F.struct("order", *[F.col(c).alias(n) for c, n in (("k", "p"), ("s1", "p1"), ("s2", "p2"))])).alias("least"))
+        pairs = rows.join(least.select("node", "least.*"), "node").filter(F.col("k") != F.col("p"))
+        return pairs.filter(_near(pairs, "s", "p")).select(F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b"))
+
+    # 1. every member against one of its node
+    links = confirmed(stars(crowd), docs, width, threshold, "stars")
+    found = written(components(links), "components-stars")
 
-    # 2. nodes that still mix components
     def mixed_nodes(rows: DataFrame) -> DataFrame:
-        named = rows.join(found, rows["k"] == found["node"], "left").select(rows["node"], "k", "s1", "s2", F.coalesce("component", "k").alias("c"))
-        sizes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1")
-        return named.join(sizes.select("node", "size"), "node")
+        """Members of nodes with more than one component, each with its component c, the node's largest component, and
+        whether the node can be compared exhaustively: with at most small / 2 pairs across components for a member."""
+        named = rows.select("node", "k", "s1", "s2").join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k"))
+        parts = named.groupBy("node", "c").agg(F.count("*").alias("n"))
+        nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "c"))["c"].alias("top"), F.count("*").alias("parts"))
+        cheap = F.col("size") * F.col("size") - F.col("squares") <= F.col("size") * small
+        return named.join(nodes.filter("parts > 1").select("node", "top", cheap.alias("cheap")), "node").select("node", "k", "s1", "s2", "c", "top", "cheap")
+
+    here = written(mixed_nodes(crowd), "mixed")
 
+    # 2. nodes that still mix components
     def crossing(rows: DataFrame) -> DataFrame:
-        left = rows.select("node", F.col("k").alias("a"), F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.col("c").alias("ca"))
-        right = rows.select("node", F.col("k").alias("b"), "s1", "s2", F.col("c").alias("cb"))
-        condition = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(rows, "s", "p")
-        return left.join(right, "node").filter(condition).select("a", "b").distinct()
+        """Pairs across components: members outside a node's largest component against all of the node."""
+        left = rows.filter("c <> top").select("node", F.col("k").alias("x"), F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.col("c").alias("cx"))
+        right = rows.select("node", F.col("k").alias("y"), "s1", "s2", F.col("c").alias("cy"))
+        condition = (F.col("cx") != F.col("cy")) & _near(rows, "s", "p")
+        return left.join(right, "node").filter(condition).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    rows, pairs = crowd.select("node", "k", "s1", "s2"), None
+    pairs = None
     for depth in range(1, deepest + 1):
-        here = written(mixed_nodes(rows), f"mixed-{depth}")
-        done = crossing(here if depth == deepest else here.filter(F.col("size") <= small))
+        if depth > 1:
+            here = written(mixed_nodes(branches), f"deep-{depth}")
+        done = crossing(here if depth == deepest else here.filter("cheap"))
         pairs = done if pairs is None else pairs.unionByName(done)
-        large = here.filter(F.col("size") > small)
+        large = here.filter("not cheap")
         if depth == deepest or large.isEmpty():
             break
-        rows = _branched(large.join(firsts.select("k", "tokens").dropDuplicates(["k"]), "k").select("node", "k", "tokens"), threshold)
-        rows = written(rows, f"branch-{depth}")
+        branches = _branched(large.join(firsts.select("k", "tokens").dropDuplicates(["k"]), "k").select("node", "k", "tokens"), threshold)
+        branches = written(branches, f"branch-{depth}")
     more = confirmed(pairs, docs, width, threshold, "pairs")
 
     # 3. components of all links
     if not more.isEmpty():
-        found = written(components(links.unionByName(more)), "components-2")
+        found = written(components(links.unionByName(more)), "components-links")
     named = firsts.select("d1", "d2", "n", "k").join(found.withColumnRenamed("node", "k"), "k", "left").select("d1", "d2", "n", F.coalesce("component", "k").alias("component"))
     joined = every.select("k", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     return joined.select("k", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
@@ -226,3 +247,15 @@ def deduplicated(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> Dat
     """docs without those whose component has a smaller id; same columns. Rows with one id stay or go together."""
     gone = written(linked(docs, width, threshold).filter(F.col("k") != F.col("component_id")).select("k").distinct(), "near-copies")
     return docs.join(gone, _key() == gone["k"], "left_anti")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * p.c >= 80 * (na.n + nb.n - p.c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id, w.doc_id = c.m AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = w.doc_id
+"""
