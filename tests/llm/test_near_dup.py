@@ -29,7 +29,7 @@ def brute(docs, width):
         for b in ids[x + 1 :]:
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 80 * len(sets[a] | sets[b]):
-                ra, rb = sorted((root(a), root(b)))
+                ra, rb = sorted((root(a), root(b)), key=lambda x: -1 if x is None else x)
                 parent[rb] = ra
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
