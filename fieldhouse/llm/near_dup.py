@@ -11,7 +11,8 @@ about 1 - exp(-s / threshold), at least 0.63 at the threshold, so with 16 trees
    token) discard pairs that cannot reach the threshold; the rest are confirmed on full sets of the texts. A member meets a
    handful of others this way, whatever the size of its group; where a share q of the pairs of a group is too far apart,
    about q^ORDERS of its members are left over.
-2. Nodes whose members are all in one component are done. Of the others, those with few pairs across components (`small`
+2. Nodes whose members are all in one component are done. The others take another star, with another order. Of those that
+   still mix components, the ones with few pairs across components (`small`
    bounds their number for a member) are compared exhaustively: the members outside the largest component with all others.
    The rest branch again, to a depth of `deepest`, where what is left is compared exhaustively too. Found pairs are
    confirmed on full sets.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from fieldhouse.llm.components import components
 from fieldhouse.llm.util import WordCodes, byte_values, mixed, small_batches, written
 
-SIZE, TREES, SMALL, DEEPEST = 64, 16, 100, 8
+SIZE, TREES, SMALL, DEEPEST = 64, 16, 100, 4
 #: Random orders among which a node picks the one whose least member is compared to all.
 ORDERS = 6
 #: Differing 2-bit symbols out of SIZE beyond which a pair is discarded: at a similarity of 0.8 their number is 9.6 on
@@ -185,15 +186,15 @@ def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees: int =
     sizes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     crowd = written(members.join(sizes, "node").select("node", "k", "s1", "s2", "size"), "nodes")
 
-    def stars(rows: DataFrame) -> DataFrame:
+    def stars(rows: DataFrame, turn: int) -> DataFrame:
         """Each member with its node's least member in one of ORDERS random orders, which the node picks."""
-        order = F.xxhash64("k", F.pmod("node", F.lit(ORDERS)))
-        least = rows.withColumn("order", order).groupBy("node").agg(F.min(F.struct("order", *[F.col(c).alias(n) for c, n in (("k", "p"), ("s1", "p1"), ("s2", "p2"))])).alias("least"))
-        pairs = rows.join(least.select("node", "least.*"), "node").filter(F.col("k") != F.col("p"))
+        order = F.xxhash64("k", F.pmod("node", F.lit(ORDERS)), F.lit(turn))
+        least = rows.withColumn("order", order).groupBy("node").agg(F.min(F.struct("order", *[F.col(c).alias(n) for c, n in (("k", "p"), ("s1", "p1"), ("s2", "p2"), ("c", "pc"))])).alias("least"))
+        pairs = rows.join(least.select("node", "least.*"), "node").filter((F.col("k") != F.col("p")) & (F.col("c") != F.col("pc")))
         return pairs.filter(_near(pairs, "s", "p")).select(F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b"))
 
     # 1. every member against one of its node
-    links = confirmed(stars(crowd), docs, width, threshold, "stars")
+    links = confirmed(stars(crowd.withColumn("c", F.col("k")), 0), docs, width, threshold, "stars")
     found = written(components(links), "components-stars")
 
     def mixed_nodes(rows: DataFrame) -> DataFrame:
@@ -219,6 +220,12 @@ def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees: int =
     for depth in range(1, deepest + 1):
         if depth > 1:
             here = written(mixed_nodes(branches), f"deep-{depth}")
+        # members of a deeper node share more tokens, so a star links more of them
+        more = confirmed(stars(here, depth), docs, width, threshold, f"stars-{depth}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = written(components(links), f"components-{depth}")
+            here = written(mixed_nodes(here), f"left-{depth}")
         done = crossing(here if depth == deepest else here.filter("cheap"))
         pairs = done if pairs is None else pairs.unionByName(done)
         large = here.filter("not cheap")
