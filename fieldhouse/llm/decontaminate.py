@@ -3,8 +3,9 @@
 Words are maximal runs of letters and digits of ASCII and of all bytes above it, after A-Z are lower-cased. An item's
 windows are its runs of N words, or all its words if it has fewer. The windows go to the executors as sorted 64-bit
 hashes with their word codes, and each hash hit is verified word by word. What is broadcast is bounded: the benchmark is
-split into blocks of at most `block_bytes` of text, and each block is a scan of its own whose hits are merged by
-document, so a benchmark of any size works (one block, no shuffle, in the usual case).
+split into blocks of at most `block_bytes` of text, and each block is a scan of its own whose hits are merged by row, so
+a benchmark of any size works (one block, no shuffle, in the usual case). With more blocks the ids and texts are written
+once with a number for each row, and only numbers, counts and hits are shuffled.
 
 Null or empty texts have no words and no hits; items without words have no windows; repeated documents are judged each on
 its own; extra columns are ignored by `find` and kept by `decontaminate`.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldhouse.llm.util import WordCodes, byte_values, chunks, ids_and_texts, small_batches
+from fieldhouse.llm.util import WordCodes, byte_values, chunks, ids_and_texts, small_batches, written
 
 N = 10
 BLOCK_BYTES = 16_000_000
@@ -120,34 +121,40 @@ def _index(block: DataFrame, n: int):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: number of words, merged word ranges hit by benchmark windows, ids of the items that occur."""
+    """Per document row: number of words, merged word ranges hit by benchmark windows, ids of the items that occur."""
     source, blocks = ids_and_texts(docs), _blocks(benchmark, block_bytes)
-    parts = []
-    for block in blocks:
-        index = _index(block, n)
-
-        def scan(batches, index=index):
-            for batch in batches:
-                texts, ids = byte_values(batch.column(1)), batch.column(0).to_pylist()
-                for part in chunks(texts):
-                    rows = [
-                        {"doc_id": i, "n_words": w, "hits": [{"start": a, "end": b} for a, b in spans], "item_ids": items}
-                        for i, (w, spans, items) in zip(ids[part], index.value.scan(texts[part]))
-                    ]
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-        parts.append(source.mapInArrow(scan, FOUND))
-    if len(parts) == 1:
-        return parts[0]
+    if len(blocks) == 1:
+        return source.mapInArrow(_scan(_index(blocks[0], n), True), FOUND)
+    numbered = written(source.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    parts = [numbered.mapInArrow(_scan(_index(block, n), k == 0), f"{FOUND}, row long") for k, block in enumerate(blocks)]
     return _merged(parts)
 
 
+def _scan(index, every: bool):
+    """The scan over batches of doc_id, text and further columns, which are kept; rows without hits only if `every`."""
+
+    def scan(batches):
+        for batch in batches:
+            texts = byte_values(batch.column(1))
+            for part in chunks(texts):
+                found = [(i, x) for i, x in zip(range(part.start, part.stop), index.value.scan(texts[part])) if every or x[1]]
+                rows = batch.take(pa.array([i for i, _ in found], pa.int64()))
+                columns = [
+                    rows.column(0),
+                    pa.array([w for _, (w, _, _) in found], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in spans] for _, (_, spans, _) in found], pa.list_(_SPAN)),
+                    pa.array([items for _, (_, _, items) in found], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([*columns, *rows.columns[2:]], names=["doc_id", "n_words", "hits", "item_ids", *batch.schema.names[2:]])
+
+    return scan
+
+
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(_SPAN)), ("item_ids", pa.list_(pa.int64()))])
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
-    """The blocks' findings put together by document; ranges that touch or overlap become one."""
+    """The blocks' findings put together by row number; ranges that touch or overlap become one."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -162,9 +169,10 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), merged.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
+    found = every.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), merged.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
     )
+    return found.drop("row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -205,9 +213,9 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contract(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The digest columns of op10, from `find`."""
-    found = find(docs, benchmark)
+    found = find(docs, benchmark, block_bytes=block_bytes)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
     names = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     return found.select(

@@ -99,6 +99,20 @@ def test_op10_equals_brute_force(spark, block_bytes):
         assert (r["text"] == old[r["doc_id"]]) == (r["doc_id"] in clean)
 
 
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 60])
+def test_op10_judges_repeated_and_null_ids_by_row(spark, block_bytes):
+    items = [(k, f"start{k} " + " ".join(f"w{k}x{j}" for j in range(9))) for k in range(6)]
+    texts = ["clean words here", items[0][1], "x " + items[1][1] + " " + items[2][1], "clean again and longer than the others are", None]
+    docs = [(i, t) for i in (7, None) for t in texts] + [(7, texts[1]), (8, items[5][1])]
+    d = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = [(i, *brute_contamination([(0, t)], items)[0]) for i, t in docs]
+    found = [(r["doc_id"], r["n_words"], sum(h["end"] - h["start"] for h in r["hits"]), len(r["item_ids"])) for r in decontaminate.find(d, b, block_bytes=block_bytes).collect()]
+    assert sorted(found, key=str) == sorted([w[:4] for w in want], key=str)
+    got = [tuple(r) for r in decontaminate.contract(d, b, block_bytes=block_bytes).collect()]
+    assert len(decontaminate._blocks(b, 60)) > 1 and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_op10_empty_tables(spark):
     d = spark.createDataFrame([], DOCS)
     b = spark.createDataFrame([], "item_id long, text string")
