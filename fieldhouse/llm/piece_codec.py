@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,11 @@ class PieceCodec:
             for p, k in zip(self.pieces, self.kinds)
         ]
         self.widths = np.array([1 if k == BYTE else len(p) for p, k in zip(self.pieces, self.kinds)], np.int64)
-        self.parts: dict[bytes, tuple[int, bytes, bytes]] = {}
+        #: the same as lists: with marks, and with marks as spaces
+        self.part_widths = self.widths.tolist(), [1 if k == BYTE else len(p.replace(MARK, b" ")) for p, k in zip(self.pieces, self.kinds)]
+        #: part -> number of ids, ids in decimal, decoded bytes, widths of the pieces in escaped bytes and in bytes with the
+        #: marks as spaces, as the bytes of int32 arrays
+        self.parts: dict[bytes, tuple[int, bytes, bytes, bytes, bytes]] = {}
 
     def normalised(self, text: bytes) -> tuple[bytes, np.ndarray | None]:
         """The text as the encoder sees it, space marks included, and its alignment to the source (None: spaces only)."""
@@ -217,13 +222,19 @@ class PieceCodec:
 
     def spans(self, text: bytes, ids: list[int]) -> np.ndarray:
         """Start and end byte in the source of each id of encode(text); control ids are empty ranges at the end."""
-        normal, source = self.normalised(text)
+        return self._projected(*self.normalised(text), self._widths(ids))
+
+    def _widths(self, ids: list[int] | tuple[int, ...]) -> np.ndarray:
+        """Escaped bytes that each id stands for; control ids stand for none."""
+        return np.where(np.array([self.kinds[i] == CONTROL for i in ids], bool), 0, self.widths[list(ids)]) if ids else np.zeros(0, np.int64)
+
+    def _projected(self, normal: bytes, source: np.ndarray | None, widths: np.ndarray) -> np.ndarray:
+        """Start and end byte in the source of pieces of these widths, which follow one another over the escaped text."""
         marks = np.frombuffer(normal, np.uint8) == 0x20 if self.escape else np.zeros(len(normal), bool)
         wide = np.repeat(np.arange(len(normal)), np.where(marks, len(MARK), 1))  # escaped byte -> normalised byte
         wide = np.append(wide, len(normal))
         if source is None:
             source = np.maximum(np.arange(len(normal) + 1) - int(self.prefix and len(normal) > 0), 0)
-        widths = np.where(np.array([self.kinds[i] == CONTROL for i in ids], bool), 0, self.widths[ids]) if ids else np.zeros(0, np.int64)
         ends = np.cumsum(widths)
         return np.stack([source[wide[ends - widths]], source[wide[ends]]], axis=1)
 
@@ -236,21 +247,40 @@ class PieceCodec:
             out = out[1:]
         return out.decode(errors="replace").encode()
 
-    def summary(self, text: bytes) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids in decimal joined by a space, and the decoded bytes; put together part by part."""
-        n, digits, surfaces, known = 1, [], [], self.parts
-        for part in self.cut(self.normalised(text)[0]):
+    def summary(self, text: bytes) -> tuple[int, bytes, bytes, np.ndarray]:
+        """Number of ids, the ids in decimal joined by a space, the decoded bytes, and the spans; put together part by part.
+
+        If the alignment is the identity, all marks are escaped spaces and a mark is a piece (not three bytes), spans come
+        from the remembered widths alone."""
+        n, digits, surfaces, widths, known = 1, [], [], [], self.parts
+        normal, source = self.normalised(text)
+        direct = 4 if self.escape and source is None and SPACE in self.text_ids and MARK not in normal else 3
+        for part in self.cut(normal):
             found = known.get(part)
             if found is None:
-                ids = self.merge(part)
                 if len(known) >= MOST_PARTS:
                     known.clear()
-                found = known[part] = (len(ids), " ".join(map(str, ids)).encode(), b"".join([self.surface[i] for i in ids]))
+                found = known[part] = self._part(part)
             n += found[0]
             digits.append(found[1])
             surfaces.append(found[2])
+            widths.append(found[direct])
         digits.append(str(self.end_id).encode())
-        return n, b" ".join(digits), self._finished(b"".join(surfaces))
+        sizes = np.zeros(n, np.int64)  # the end id has no width
+        sizes[:-1] = np.frombuffer(b"".join(widths), np.int32)
+        if direct == 4:
+            edges = np.zeros(n + 1, np.int64)
+            np.cumsum(sizes, out=edges[1:])
+            edges = np.maximum(edges - int(self.prefix and len(normal) > 0), 0)
+            spans = np.stack([edges[:-1], edges[1:]], axis=1)
+        else:
+            spans = self._projected(normal, source, sizes)
+        return n, b" ".join(digits), self._finished(b"".join(surfaces)), spans
+
+    def _part(self, part: bytes) -> tuple[int, bytes, bytes, bytes, bytes]:
+        ids = self.merge(part)
+        escaped, plain = (array("i", [of[i] for i in ids]).tobytes() for of in self.part_widths)
+        return len(ids), " ".join(map(str, ids)).encode(), b"".join([self.surface[i] for i in ids]), escaped, plain
 
 
 _PARTS = re.compile(b"(?:" + MARK + b")+(?:(?!" + MARK + b").)*|(?:(?!" + MARK + b").)+", re.S)
@@ -285,16 +315,21 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def contract(docs: DataFrame, model_file: str) -> DataFrame:
-    """The digest columns of op7; the same normalisation, merging and decoding as `encode`, without keeping the lists."""
+    """The digest columns of op7; the same normalisation, merging, projection and decoding as `encode`, without keeping
+    the lists. spans_sha256: over start and end of each piece in turn, as little-endian 32-bit integers."""
     from hashlib import sha256
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string())])
+
+    def digests(text: bytes, own: PieceCodec) -> tuple[int, str, str, str]:
+        n, ids, decoded, spans = own.summary(text)
+        return n, sha256(ids).hexdigest(), sha256(decoded).hexdigest(), sha256(spans.astype("<i4").tobytes()).hexdigest()
 
     def run(batches):
         own = codec(model_file)
         for batch in batches:
-            found = [own.summary(text) for text in byte_values(batch.column(1))]
-            columns = [batch.column(0), [n for n, _, _ in found], [sha256(x).hexdigest() for _, x, _ in found], [sha256(x).hexdigest() for _, _, x in found]]
+            found = [digests(text, own) for text in byte_values(batch.column(1))]
+            columns = [batch.column(0), *([x[k] for x in found] for k in range(4))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ids_and_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 from hashlib import sha256
 
 import pytest
@@ -42,6 +43,41 @@ def test_op7_equals_library(spark):
         assert b"".join(data[a:b] for a, b in spans) == data and len(spans) == len(ids)
 
 
+def test_op7_contract_projects_every_piece(spark):
+    from fieldhouse.llm.queries import model_file
+
+    rows = texts() + ["▁ a▁b  c ▁▁ d", " ▁", "a b", "a▁b"]
+    docs = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in enumerate(rows)], DOCS)
+    full = {r["doc_id"]: r["spans"] for r in piece_codec.encode(docs, str(model_file())).collect()}
+    own = {r["doc_id"]: r["spans_sha256"] for r in piece_codec.contract(docs, str(model_file())).collect()}
+    for i, t in enumerate(rows):
+        data, spans = (t or "").encode(), [tuple(s) for s in full[i]]
+        assert own[i] == sha256(b"".join(struct.pack("<ii", *s) for s in spans)).hexdigest()
+        assert b"".join(data[a:b] for a, b in spans) == data
+
+
+def test_summary_projects_through_the_character_map():
+    """Rules that lengthen, shorten and drop bytes, with and without removal of extra spaces."""
+    from fieldhouse.llm.queries import model_file
+
+    own = piece_codec.PieceCodec(str(model_file()))
+    own.map.rules = {"ﬁ".encode(): b"fi", b"abc": b"x", "\u200b".encode(): b"", b"\t": b" "}
+    own.map.find = re.compile(b"|".join(map(re.escape, own.map.rules)))
+    for own.squeeze in (False, True):
+        for text in ["ﬁne abc\u200b  ﬁ\tabcabc", "  abc ▁ﬁ ", "", "\u200b", "x"]:
+            data = text.encode()
+            n, digits, _, spans = own.summary(data)
+            ids = [int(x) for x in digits.split()]
+            assert n == len(ids) == len(spans) and ids == own.encode(data) and (spans == own.spans(data, ids)).all()
+    own.squeeze = False
+    data = "ﬁx abc".encode()
+    ids = own.encode(data)
+    at = own.spans(data, ids)
+    assert at[0][0] == 0 and at[-1].tolist() == [len(data)] * 2
+    last = [tuple(x) for x in at.tolist() if x[0] != x[1]][-1]
+    assert data[last[0] : last[1]] in (b"abc", b" abc")
+
+
 def test_character_map_takes_longest_prefix():
     m = piece_codec.CharacterMap(b"")
     m.rules = {b"a": b"x", b"ab": b"yy", b"abc": b""}
