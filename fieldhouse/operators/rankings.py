@@ -149,7 +149,8 @@ def project_rpi(games: DataFrame, remaining: DataFrame, priors: DataFrame | None
     ranked = rpi_of_edges(both, keys)
     p = F.percentile("rpi", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     out = ranked.groupBy(*by, "team_id").agg(p.alias("p"))
-    return out.select(*by, "team_id", *[F.round(F.col("p")[i], 6).alias(n) for i, n in ((1, "median"), (0, "low"), (2, "high"))])
+    # between two places a percentile can be half a unit: scaled and rounded as doubles, as SQL engines do
+    return out.select(*by, "team_id", *[(F.floor(F.col("p")[i] * 1e6 + 0.5) / 1e6).alias(n) for i, n in ((1, "median"), (0, "low"), (2, "high"))])
 
 
 def weekly(games: DataFrame, starts: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
@@ -190,6 +191,24 @@ def rank_teams(games: DataFrame, remaining: DataFrame, priors: DataFrame | None
     return out.withColumn("computed_at", F.lit(computed_at).cast("timestamp"))
 
 
+def weekly_rankings(games: DataFrame, starts: DataFrame, priors: DataFrame | None = None, n_sims: int = 1000, as_of=None) -> DataFrame:
+    """All rankings of each team in each week, and its posterior strength then, flat and seeded. priors: (season_id, team_id, rpi).
+
+    A week's projection simulates the games left after it, played since or not."""
+    by = ["season_id", "week_number"]
+    upto, left = weekly(games, starts, as_of)
+    if priors is not None:
+        priors = priors.join(upto.select(*by).distinct(), "season_id")
+    out = rank_teams(upto, left, priors, n_sims, by)
+    for name, given in (("flat", None), ("seeded", priors)):
+        cols = {"mu": f"mu_{name}", "var": f"var_{name}"}
+        if name == "seeded" and priors is None:
+            out = out.withColumns({c: F.lit(None).cast("double") for c in cols.values()})
+        else:
+            out = out.join(posterior(upto, given, by).withColumnsRenamed(cols), [*by, "team_id"], "left")
+    return out
+
+
 def _sides_with(games: DataFrame, by: list[str]) -> DataFrame:
     rows = games.filter("status = 'final'").select(*by, "division_id", "game_date", "id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
     return rows.groupBy(*by, "team_id").agg(F.max_by("division_id", F.struct("game_date", "id")).alias("division_id"))

@@ -46,8 +46,7 @@ def _(t):
     return rankings.posterior(t.games).select("season_id", "team_id", F.round("mu", 9).alias("mu"), F.round("var", 9).alias("var"))
 
 
-#: 5, 50 and 95 percent fall on whole places among 21.
-SIMS = 21
+SIMS = 1000
 _U = "((CAST('0x' || substr(md5({0}), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)"
 
 
@@ -81,24 +80,34 @@ _PRIOR = "SELECT CAST(CAST(season_id AS INT) + 1 AS VARCHAR) AS season_id, team_
 
 @query("r06_projected_seeded", f"WITH {_projected(_PRIOR)} {_BAND}")
 def _(t):
-    priors = rankings.prior_season(t.team_season_stats.withColumn("rpi", F.col("win_pct")))
-    return rankings.project_rpi(t.games, t.games.filter("status = 'scheduled'"), priors, n_sims=SIMS)
+    return rankings.project_rpi(t.games, t.games.filter("status = 'scheduled'"), _priors(t), n_sims=SIMS)
 
 
-@query("r07_all_rankings", f"WITH {rpi_sql('fx_games')} SELECT r.season_id, r.team_id, r.wins, r.rpi, d.division_id FROM rpi r JOIN (SELECT season_id, team_id, arg_max(division_id, strftime(game_date, '%Y%m%d') || id) AS division_id FROM d_sides GROUP BY season_id, team_id) d ON d.season_id = r.season_id AND d.team_id = r.team_id")
+def _priors(t):
+    return rankings.prior_season(t.team_season_stats.withColumn("rpi", F.col("win_pct")))
+
+
+#: wins, rpi and division of r07; the other rankings have no SQL.
+R07_PART_SQL = f"WITH {rpi_sql('fx_games')} SELECT r.season_id, r.team_id, r.wins, r.rpi, d.division_id FROM rpi r JOIN (SELECT season_id, team_id, arg_max(division_id, strftime(game_date, '%Y%m%d') || id) AS division_id FROM d_sides GROUP BY season_id, team_id) d ON d.season_id = r.season_id AND d.team_id = r.team_id"
+
+
+@query("r07_all_rankings")
 def _(t):
-    return rankings.rank_teams(t.games, t.games.filter("status = 'scheduled'"), n_sims=5).select("season_id", "team_id", "wins", "rpi", "division_id")
+    return rankings.rank_teams(t.games, t.games.filter("status = 'scheduled'"), _priors(t), n_sims=SIMS)
 
 
 _STARTS = "make_date(CAST(season_id AS INT), 2, 1)"
 _WEEKS = f"SELECT *, greatest(1, CAST(floor((game_date - ({_STARTS} + CAST((8 - isodow({_STARTS})) % 7 AS INT))) / 7.0) AS INT) + 1) AS week FROM fx_games WHERE status = 'final'"
 
 
-@query("r08_weekly_history", f"WITH wk AS ({_WEEKS}), lastw AS (SELECT season_id, max(week) AS last_week FROM wk GROUP BY season_id), hist AS (SELECT wk.*, CAST(n.n AS INT) AS week_number FROM wk JOIN lastw USING (season_id) JOIN (SELECT range AS n FROM range(1, 60)) n ON n.n >= wk.week AND n.n <= last_week), {rpi_sql('hist', 'season_id, week_number')} SELECT season_id, week_number, team_id, wins, losses, rpi FROM rpi")
+#: wins, losses and rpi of r08; the other rankings have no SQL.
+R08_PART_SQL = f"WITH wk AS ({_WEEKS}), lastw AS (SELECT season_id, max(week) AS last_week FROM wk GROUP BY season_id), hist AS (SELECT wk.*, CAST(n.n AS INT) AS week_number FROM wk JOIN lastw USING (season_id) JOIN (SELECT range AS n FROM range(1, 60)) n ON n.n >= wk.week AND n.n <= last_week), {rpi_sql('hist', 'season_id, week_number')} SELECT season_id, week_number, team_id, wins, losses, rpi FROM rpi"
+
+
+@query("r08_weekly_history")
 def _(t):
     starts = t.games.select("season_id").distinct().withColumn("start_date", F.make_date(F.col("season_id").cast("int"), F.lit(2), F.lit(1)))
-    upto, _left = rankings.weekly(t.games, starts)
-    return rankings.rpi(upto, ["season_id", "week_number"]).select("season_id", "week_number", *_R)
+    return rankings.weekly_rankings(t.games, starts, _priors(t), n_sims=SIMS)
 
 
 @query("j16_week_expansion", f"WITH wk AS ({_WEEKS}), lastw AS (SELECT season_id, max(week) AS last_week FROM wk GROUP BY season_id) SELECT season_id, CAST(n.n AS INT) AS week_number, count(*) AS games FROM wk JOIN lastw USING (season_id) JOIN (SELECT range AS n FROM range(1, 60)) n ON n.n >= wk.week AND n.n <= last_week GROUP BY season_id, n.n")

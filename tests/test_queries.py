@@ -76,3 +76,64 @@ def test_fuzzy_game_match(spark):
     feed = spark.createDataFrame([("f1", "2025-02-01", "team one", "Other Place"), ("f2", "2025-02-01", "Delta", "Gamma U"), ("f3", "2025-02-02", "Gamma", "Delta")], "feed_id string, game_date string, home_team string, away_team string")
     got = {r["feed_id"]: (r["stats_id"], r["confidence"]) for r in names.match_games(stats, feed).collect()}
     assert got == {"f1": (None, "unmatched"), "f2": ("s2", "exact"), "f3": (None, "unmatched")}
+
+
+def _small_league(spark):
+    day = datetime.date
+    rows = [("a1", "2024", 1, day(2024, 2, 6), "a", "b", 9, 5, "final"), ("a2", "2024", 1, day(2024, 2, 7), "c", "d", 4, 8, "final"), ("a3", "2024", 1, day(2024, 2, 14), "a", "c", 7, 6, "final"), ("a4", "2024", 2, day(2024, 2, 21), "b", "d", 3, 8, "final"), ("a5", "2024", 2, day(2024, 3, 1), "d", "a", None, None, "scheduled")]
+    return spark.createDataFrame(rows, "id string, season_id string, division_id int, game_date date, home_team_id string, away_team_id string, home_score int, away_score int, status string")
+
+
+class _League:
+    def __init__(self, spark):
+        self.games = _small_league(spark)
+        self.team_season_stats = spark.createDataFrame([("2023", "a", 0.9), ("2023", "b", 0.2)], "season_id string, team_id string, win_pct double")
+
+
+def test_all_and_weekly_rankings_are_whole(spark, monkeypatch):
+    """r05 to r08 as registered: the reference's number of simulations, and every ranking in r07 and in each week of r08."""
+    from fieldhouse.plans.queries import ranked
+
+    t, counts, original = _League(spark), [], rankings.project_rpi
+    monkeypatch.setattr(registry, "League", lambda *_: t)
+    monkeypatch.setattr(rankings, "project_rpi", lambda games, remaining, priors=None, n_sims=1000, *a, **k: counts.append(n_sims) or original(games, remaining, priors, 20, *a, **k))
+    run = lambda name: registry.queries()[name](spark, SF)
+    run("r05_projected_flat"), run("r06_projected_seeded")
+    names = {"wins", "losses", "rpi", "massey", "massey_recency", *(f"projected_rpi_{k}{e}" for k in ("flat", "seeded") for e in ("", "_low", "_high"))}
+    whole = run("r07_all_rankings")
+    assert names | {"division_id"} <= set(whole.columns)
+    rows = run("r08_weekly_history")
+    assert names | {"mu_flat", "mu_seeded", "week_number"} <= set(rows.columns) and set(counts) == {1000} == {ranked.SIMS}
+    got = {(r["week_number"], r["team_id"]): r for r in rows.collect()}
+    assert {w for w, _ in got} == {1, 2, 3} and len(got) == 12
+    # each week by itself equals the rankings of the games played up to it, with the rest of them to come
+    upto, left = rankings.weekly(t.games, spark.createDataFrame([("2024", datetime.date(2024, 2, 1))], "season_id string, start_date date"))
+    one = {r["team_id"]: r for r in rankings.massey(upto.filter("week_number = 2")).collect()}
+    post = {r["team_id"]: r for r in rankings.posterior(upto.filter("week_number = 2")).collect()}
+    for k, r in one.items():
+        assert abs(got[2, k]["massey"] - r["rating"]) < 1e-9 and abs(got[2, k]["mu_flat"] - post[k]["mu"]) < 1e-9
+    assert got[2, "a"]["mu_seeded"] > got[2, "a"]["mu_flat"] and got[2, "c"]["mu_seeded"] == got[2, "c"]["mu_flat"]
+    assert left.count() == 3 + 2 + 1 and all(r["projected_rpi_flat_low"] <= r["projected_rpi_flat"] <= r["projected_rpi_flat_high"] for r in got.values())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_r07_and_r08_keep_what_sql_gives(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from fieldhouse import fixtures
+    from fieldhouse.plans.queries import ranked
+
+    con = duckdb.connect()
+    for t in fixtures.BASE:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    league = fixtures.League(spark, SF)
+    starts = league.games.select("season_id").distinct().selectExpr("season_id", "make_date(cast(season_id as int), 2, 1) start_date")
+    upto, _ = rankings.weekly(league.games, starts)
+    r07 = rankings.rank_teams(league.games, league.games.filter("status = 'scheduled'"), n_sims=2)
+    for df, sql in ((r07, ranked.R07_PART_SQL), (rankings.rpi(upto, ["season_id", "week_number"]), ranked.R08_PART_SQL)):
+        found = con.execute(fixtures.with_views(sql, registry.DERIVED))
+        heads = [d[0] for d in found.description]
+        at = heads.index("rpi")
+        key = lambda r: tuple(map(plain, r[:at] + r[at + 1 :]))
+        got, want = ({key(r): r[at] for r in map(tuple, rows)} for rows in (df.select(*heads).collect(), found.fetchall()))
+        # the engines round halves of the sixth digit apart
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.5e-6 for k in got)
