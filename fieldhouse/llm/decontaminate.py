@@ -8,7 +8,8 @@ a benchmark of any size works (one block, no shuffle, in the usual case). With m
 once with a number for each row, and only numbers, counts and hits are shuffled.
 
 Null or empty texts have no words and no hits; items without words have no windows; repeated documents are judged each on
-its own; extra columns are ignored by `find` and kept by `decontaminate`.
+its own; extra columns are ignored by `find` and kept by `decontaminate`. Items with a null id count like others: their words are
+hits, and together they are one null in item_ids, counted in n_items and left out of the digest of the ids.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ class WindowIndex:
             matrix = np.array([[self.code[w] for w in window] for window in windows], np.uint64)
             hashes = _hashed(matrix.reshape(-1), np.arange(len(windows)) * size, size)
             order = np.argsort(hashes, kind="stable")
-            self.by_length[size] = hashes[order], matrix[order], [sorted(found[windows[i]]) for i in order]
+            self.by_length[size] = hashes[order], matrix[order], [sorted(found[windows[i]], key=_place) for i in order]
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
         """For each text: its number of words, the word ranges hit (merged), and the items hit."""
@@ -97,7 +98,12 @@ class WindowIndex:
         for d, n in enumerate(sizes.tolist()):
             base = int(starts[d])
             spans = [(int(b) - base, int(e) - base) for b, e in zip(begins[first[d] : first[d + 1]], ends[first[d] : first[d + 1]])]
-            yield n, spans, sorted(items.get(d, ()))
+            yield n, spans, sorted(items.get(d, ()), key=_place)
+
+
+def _place(item_id: int | None) -> tuple[bool, int]:
+    """The order of item ids, null last."""
+    return item_id is None, item_id or 0
 
 
 def _hashed(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -116,7 +122,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 
 
 def _index(block: DataFrame, n: int):
-    rows = [(r["item_id"], r["text"]) for r in block.collect() if r["item_id"] is not None]
+    rows = [(r["item_id"], r["text"]) for r in block.collect()]
     return block.sparkSession.sparkContext.broadcast(WindowIndex(rows, n))
 
 

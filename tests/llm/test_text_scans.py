@@ -149,6 +149,18 @@ def test_op10_judges_repeated_and_null_ids_by_row(spark, block_bytes):
     assert len(decontaminate._blocks(b, 60)) > 1 and sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 40])
+def test_op10_items_without_id_are_hits(spark, block_bytes):
+    items = [(None, "one two three"), (None, "four five six"), (4, "seven eight nine"), (5, "ten eleven twelve")]
+    docs = [(1, "x one two three y four five six"), (2, "seven eight nine one two three"), (3, "clean"), (4, "ten eleven twelve")]
+    d = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    digest = lambda x: sha256(x.encode()).hexdigest()
+    got = sorted(tuple(r) for r in decontaminate.contract(d, b, block_bytes=block_bytes).collect())
+    assert got == [(1, 8, 6, 1, digest(""), True), (2, 6, 6, 2, digest("4"), True), (3, 1, 0, 0, digest(""), False), (4, 3, 3, 1, digest("5"), True)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(d, b, block_bytes=block_bytes).collect()] == [3]
+
+
 def test_op10_empty_tables(spark):
     d = spark.createDataFrame([], DOCS)
     b = spark.createDataFrame([], "item_id long, text string")
