@@ -18,16 +18,17 @@ _last = lambda n, m: f"split_part({_LAST}, ',', CAST(1 + {n} % {m} AS INT))"  #
 VIEWS = {
     "fx_teams": """
 SELECT CAST(c_custkey AS STRING) AS id, concat('Team ', CAST(c_custkey AS STRING), ' ', c_mktsegment) AS name,
-       concat('Team ', CAST(c_custkey AS STRING)) AS short_name, concat('team-', CAST(c_custkey % 40 AS STRING)) AS slug,
+       concat('Team ', CAST(c_custkey AS STRING)) AS short_name,
+       concat('team-', CAST(c_custkey - (CASE WHEN c_custkey % 6 = 5 THEN 1 ELSE 0 END) AS STRING)) AS slug,
        CAST(1 + c_custkey % 3 AS INT) AS division_id
-FROM customer WHERE c_custkey < 48""",
+FROM customer""",
     "fx_games": """
 SELECT CAST(o_orderkey AS STRING) AS id,
        CASE WHEN o_orderkey % 10 = 0 THEN NULL
             ELSE CAST(o_orderkey - (CASE WHEN o_orderkey % 25 = 24 THEN 1 ELSE 0 END) AS STRING) END AS ncaa_game_id,
-       CAST(year(o_orderdate) AS STRING) AS season_id, CAST(1 + o_custkey % 48 % 3 AS INT) AS division_id,
-       CAST(o_orderdate AS DATE) AS game_date, CAST(o_custkey % 48 AS STRING) AS home_team_id,
-       CAST((o_custkey % 48 + 3 * (1 + o_orderkey % 15)) % 48 AS STRING) AS away_team_id,
+       CAST(year(o_orderdate) AS STRING) AS season_id, CAST(1 + o_custkey % 3 AS INT) AS division_id,
+       CAST(o_orderdate AS DATE) AS game_date, CAST(o_custkey AS STRING) AS home_team_id,
+       CAST((o_custkey + 3 * (1 + o_orderkey % 15)) % (SELECT max(c_custkey) + 1 FROM customer) AS STRING) AS away_team_id,
        CASE WHEN o_orderstatus = 'P' AND year(o_orderdate) >= 2000 THEN NULL
             ELSE CAST((o_orderkey * 7 + o_custkey * 13) % 21 AS INT) END AS home_score,
        CASE WHEN o_orderstatus = 'P' AND year(o_orderdate) >= 2000 THEN NULL
@@ -76,10 +77,12 @@ FROM (SELECT e.*, CASE CAST(event_id % 12 AS INT)
   FROM (SELECT events.*, concat({_first("user_id")}, ' ', {_last("user_id", 7)}) AS p1, concat({_last("user_id", 7)}, ', ', {_first("user_id")}) AS p1r,
      concat({_first("event_id")}, ' ', {_last("event_id", 5)}) AS p2, concat({_last("event_id", 5)}, ', ', {_first("event_id")}) AS p2r
    FROM events) e) x""",
-    # a second feed of the same games with school names instead of ids, and a roster and a player table
+    # a second feed of the same games with school names instead of ids: some the other way round, some spelled so that only
+    # words are shared, some of teams that nobody knows; and a roster and a player table
     "fx_feed": """
-SELECT g.ncaa_game_id, g.game_date, upper(h.short_name) AS home_team, concat(a.short_name, ' Lancers') AS away_team, CAST(g.id AS BIGINT) AS ordinal
-FROM fx_games g JOIN fx_teams h ON h.id = g.home_team_id JOIN fx_teams a ON a.id = g.away_team_id WHERE g.ncaa_game_id IS NOT NULL AND CAST(g.id AS BIGINT) % 3 = 0""",
+SELECT g.ncaa_game_id, g.game_date, CASE CAST(CAST(g.id AS BIGINT) % 11 AS INT) WHEN 0 THEN 'Elsewhere' WHEN 1 THEN a.short_name WHEN 2 THEN concat('Team U ', h.id) ELSE upper(h.short_name) END AS home_team,
+       CASE CAST(CAST(g.id AS BIGINT) % 11 AS INT) WHEN 1 THEN concat(h.short_name, '.') WHEN 3 THEN concat('Team of ', a.id) ELSE concat(a.short_name, ' Lancers') END AS away_team, CAST(g.id AS BIGINT) AS ordinal
+FROM fx_games g JOIN fx_teams h ON h.id = g.home_team_id JOIN fx_teams a ON a.id = g.away_team_id WHERE g.ncaa_game_id IS NOT NULL""",
     "fx_players": f"""
 SELECT CAST(t.id AS BIGINT) * 100 + s.n AS id, concat({_first("s.n")}, ' ', {_last("(s.n + CAST(t.id AS BIGINT))", 8)}) AS name, t.division_id, t.id AS team_id,
        CASE WHEN s.n % 3 = 0 THEN NULL ELSE concat('Town ', CAST(s.n AS STRING)) END AS hometown, CAST(NULL AS STRING) AS high_school
@@ -175,3 +178,9 @@ class League:
         from fieldhouse.operators import enrich
 
         return enrich.team_season_stats(self.team_seasons, self.games, self.stats)
+
+    @cached_property
+    def rankings(self) -> DataFrame:
+        from fieldhouse.operators import rankings
+
+        return rankings.rpi(self.games)

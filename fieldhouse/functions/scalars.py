@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +45,14 @@ def format_seconds(x, missing: str = "0:00") -> Column:
     return F.coalesce(F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0")), F.lit(missing))
 
 
+def fixed(x, places: int) -> Column:
+    """The number with so many decimals, rounded by its binary value and halves to even. (format_string would round the
+    shortest decimal text instead, and halves up.)"""
+    return F.replace(F.format_number(_column(x).cast("double"), places), F.lit(","), F.lit(""))
+
+
 def format_pct(x) -> Column:
-    return F.coalesce(F.format_string("%.3f", F.round(_column(x).cast("decimal(20,8)"), 3).cast("double")), F.lit("-"))
+    return F.coalesce(fixed(x, 3), F.lit("-"))
 
 
 def format_record(wins, losses) -> Column:
@@ -53,7 +62,7 @@ def format_record(wins, losses) -> Column:
 def format_cell(x) -> Column:
     """Whole numbers as they are, others with two decimals, null as a dash."""
     v = _column(x).cast("double")
-    return F.when(v.isNull(), "-").when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.format_string("%.2f", v))
+    return F.when(v.isNull(), "-").when(v == F.floor(v), F.floor(v).cast("string")).otherwise(fixed(v, 2))
 
 
 def parse_date(x) -> Column:
@@ -150,14 +159,23 @@ def name_confidence(a, b) -> Column:
     return F.when(known & (one.contains(two) | two.contains(one)), "exact").when(known & (token_overlap(a, b) >= 0.5), "fuzzy")
 
 
-#: Accented letters and what they fold to; other letters above ASCII are dropped.
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑÝ"
-_FOLDED = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+@cache
+def _folding() -> tuple[str, str]:
+    """(characters, what each folds to): those whose compatibility decomposition holds one ASCII character."""
+    letters, plain = [], []
+    for code in range(0x80, 0x10000):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        ascii_ = [c for c in parts if c < "\x80"]
+        if len(ascii_) == 1 and not 0xD800 <= code < 0xE000:
+            letters.append(chr(code))
+            plain.append(ascii_[0])
+    return "".join(letters), "".join(plain)
 
 
 def make_slug(x) -> Column:
-    """Lower-case words and numbers joined by hyphens; apostrophes and dots vanish, brackets count as a word break."""
-    plain = F.regexp_replace(F.translate(F.trim(_column(x)), _ACCENTED, _FOLDED), r"[^\x00-\x7F]", "")
+    """Lower-case words and numbers joined by hyphens; apostrophes and dots vanish, brackets count as a word break. Letters
+    with accents fold to their ASCII letter; what has none is dropped."""
+    plain = F.regexp_replace(F.translate(F.trim(_column(x)), *_folding()), r"[^\x00-\x7F]", "")
     text = F.regexp_replace(F.regexp_replace(F.lower(plain), "['`.]", ""), r"\(([^)]+)\)", "-$1")
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9-]", "-"), "-+", "-"), F.lit("-"))
 

@@ -56,7 +56,7 @@ def running_record(games: DataFrame) -> DataFrame:
 
 
 def with_team_names(games: DataFrame, teams: DataFrame) -> DataFrame:
-    named = lambda side: F.broadcast(teams.select(F.col("id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_team_name")))
+    named = lambda side: teams.select(F.col("id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_team_name"))
     return games.join(named("home"), "home_team_id", "left").join(named("away"), "away_team_id", "left")
 
 
@@ -115,7 +115,7 @@ def team_seasons(games: DataFrame, stats: DataFrame, teams: DataFrame) -> DataFr
     """Every (team, season) that plays at home, away, or has a player row, with the team's name."""
     parts = [games.select(F.col(f"{s}_team_id").alias("team_id"), "season_id") for s in ("home", "away")] + [stats.select("team_id", "season_id")]
     every = parts[0].union(parts[1]).union(parts[2]).filter("team_id is not null and season_id is not null").distinct()
-    return every.join(F.broadcast(teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))), "team_id", "left")
+    return every.join(teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name")), "team_id", "left")
 
 
 def team_season_stats(seasons: DataFrame, games: DataFrame, stats: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ from fieldhouse.functions import plays as P
 from fieldhouse.functions.scalars import parse_quarter, parse_score, time_to_seconds
 
 
-def play_rows(raw: DataFrame) -> DataFrame:
-    """A row for each non-empty text of a raw play row, the home text first; artifact rows go."""
+def play_rows(raw: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each non-empty text of a raw play row, the home text first, with the columns `more`; artifact rows go."""
     text = lambda c: F.nullif(F.col(c), F.lit(""))
     sides = F.array(F.struct(F.lit(0).alias("side"), text("home_event").alias("text")), F.struct(F.lit(1).alias("side"), text("away_event").alias("text")))
-    return raw.filter(~P.is_artifact()).select("game_id", "seq", "quarter", "time", "score", F.inline(F.filter(sides, lambda s: s["text"].isNotNull())))
+    return raw.filter(~P.is_artifact()).select("game_id", "seq", "quarter", "time", "score", *more, F.inline(F.filter(sides, lambda s: s["text"].isNotNull())))
 
 
 def goals_by_column(raw: DataFrame) -> DataFrame:
@@ -39,12 +39,11 @@ def running_score(raw: DataFrame, away_first: bool = False) -> DataFrame:
 
 def canonical_plays(raw: DataFrame, away_first: bool = False) -> DataFrame:
     """Stored plays: type, clock, players and the number of the play among those kept in its game."""
-    rows = play_rows(running_score(raw, away_first).drop("score").withColumn("score", F.lit("x"))).drop("score")
-    scores = running_score(raw, away_first).select("game_id", "seq", "home_score", "away_score")
+    rows = play_rows(running_score(raw, away_first), ("home_score", "away_score")).drop("score")
     kind = P.classify(F.col("text"))
     kept = rows.withColumn("play_type", kind).filter(P.admitted(F.col("play_type"))).withColumn("play_type", P.stored_type(F.col("play_type")))
     number = F.row_number().over(Window.partitionBy("game_id").orderBy("seq", "side"))
-    out = kept.withColumns(
+    return kept.withColumns(
         {
             "play_sequence": number,
             "quarter_number": parse_quarter("quarter"),
@@ -53,7 +52,6 @@ def canonical_plays(raw: DataFrame, away_first: bool = False) -> DataFrame:
             "secondary_player_name": P.secondary_player(F.col("text")),
         }
     )
-    return out.join(scores, ["game_id", "seq"], "left")
 
 
 def sections(plays: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Team rankings: RPI, least-squares margins, simulated projections, weekly history.
 
 All work is on edge tables keyed by season (and week, and simulation) and never on a matrix of games by teams. Games are
-aggregated to (team, opponent) before anything fans out by week or simulation. Random draws come from md5 of the
+aggregated to (team, opponent) before anything fans out by simulation. Random draws come from md5 of the
 simulation, the team or game, and the seed, so results do not depend on partitioning.
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldhouse.functions.scalars import clamp, decay, week_number, win_probability
+from fieldhouse.functions.scalars import clamp, decay, fixed, week_number, win_probability
+from fieldhouse.storage import written
 
 
 def edges(games: DataFrame, by: list[str]) -> DataFrame:
@@ -41,64 +42,97 @@ def rpi_of_edges(e: DataFrame, by: list[str]) -> DataFrame:
     wp = F.coalesce(F.try_divide(F.col("w").cast("double"), (F.col("w") + F.col("l")).cast("double")), F.lit(0.0))
     owp, oowp = F.coalesce("owp", F.lit(0.0)), F.coalesce("oowp", F.lit(0.0))
     return out.select(
-        *by, F.col("t").alias("team_id"), F.col("w").alias("wins"), F.col("l").alias("losses"), F.round(wp, 6).alias("wp"), F.round(owp, 6).alias("owp"), F.round(oowp, 6).alias("oowp"), F.round(0.25 * wp + 0.5 * owp + 0.25 * oowp, 6).alias("rpi")
+        *by, F.col("t").alias("team_id"), F.col("w").alias("wins"), F.col("l").alias("losses"), _six(wp).alias("wp"), _six(owp).alias("owp"), _six(oowp).alias("oowp"), _six(0.25 * wp + 0.5 * owp + 0.25 * oowp).alias("rpi")
     )
 
 
+def _six(x: Column) -> Column:
+    """Six decimals, halves up. Nine first: a half that a sum of doubles misses by its last bit is a half again."""
+    return F.round(F.round(x, 9), 6)
+
+
 def rpi(games: DataFrame, by: list[str] = ["season_id"]) -> DataFrame:  # noqa: B006
     return rpi_of_edges(edges(games, by), by)
 
 
-def massey(games: DataFrame, by: list[str] = ["season_id"], clamp_at: int = 8, rate: float | None = None) -> DataFrame:  # noqa: B006
-    """Least-squares margin ratings with a zero mean in each connected part of the schedule.
+#: Pairs of teams up to which one task solves a group's ratings; larger groups are solved by joins and sums.
+MOST_PAIRS = 500_000
 
-    Games are summed to one row for each pair of teams first, so a group that is solved has at most teams^2 rows, however
-    many games there are. With a rate, games weigh exp(-rate * days before the group's last game). Groups with fewer
-    games than teams, or a single team, rate 0."""
-    import pandas as pd
 
+def margins(games: DataFrame, by: list[str], clamp_at: int = 8, rate: float | None = None) -> DataFrame:
+    """(by, h, a): weight v, weighted clamped margins vm and number n of the games of each pair of teams. With a rate, games
+    weigh exp(-rate * days before the group's last game)."""
     rows = games.filter("status = 'final'").withColumn("m", clamp(F.col("home_score") - F.col("away_score"), clamp_at).cast("double"))
     if rate is None:
         rows = rows.withColumn("v", F.lit(1.0))
     else:
         last = rows.groupBy(*by).agg(F.max("game_date").alias("last"))
         rows = rows.join(last, by).withColumn("v", decay(F.datediff("last", "game_date"), rate))
-    pairs = rows.groupBy(*by, F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a")).agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("m")).alias("vm"), F.count("*").alias("n"))
+    return rows.groupBy(*by, F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a")).agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("m")).alias("vm"), F.count("*").alias("n"))
+
+
+def massey(games: DataFrame, by: list[str] = ["season_id"], clamp_at: int = 8, rate: float | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:  # noqa: B006
+    """Least-squares margin ratings with a zero mean in each connected part of the schedule.
+
+    Games are summed to one row for each pair of teams first. The normal equations are solved by conjugate gradients from
+    zero, which never leave the space of vectors with a zero mean in each part. Groups (seasons) of up to most_pairs pairs
+    are solved in a task each, larger ones by joins and sums over their pairs: the same steps, spread out. Groups with fewer
+    games than teams, or a single team, rate 0."""
+    import pandas as pd
+
+    pairs = margins(games, by, clamp_at, rate)
+    sizes = pairs.groupBy(*by).agg(F.count("*").alias("rows"))
+    wide = sizes.filter(F.col("rows") > most_pairs).drop("rows")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        pdf = pdf.sort_values(["h", "a"])
-        names = sorted(set(pdf["h"]) | set(pdf["a"]))
-        at = {t: i for i, t in enumerate(names)}
-        h, a = pdf["h"].map(at).to_numpy(), pdf["a"].map(at).to_numpy()
-        size = len(names)
-        rating = np.zeros(size)
-        if size >= 2 and pdf["n"].sum() >= size:
-            laplacian, right = np.zeros((size, size)), np.zeros(size)
-            v, vm = pdf["v"].to_numpy(), pdf["vm"].to_numpy()
-            for i, j, s in ((h, h, 1), (a, a, 1), (h, a, -1), (a, h, -1)):
-                np.add.at(laplacian, (i, j), s * v)
-            np.add.at(right, h, vm)
-            np.add.at(right, a, -vm)
-            part = np.arange(size)  # smallest reachable team, by repeated halving of the paths
-            while True:
-                low = part.copy()
-                np.minimum.at(low, h, part[a])
-                np.minimum.at(low, a, part[h])
-                low = low[low]
-                if (low == part).all():
-                    break
-                part = low
-            for k in np.unique(part):
-                own = np.flatnonzero(part == k)
-                block = laplacian[np.ix_(own, own)] + 1.0 / len(own)  # the added constant makes the mean zero
-                rating[own] = np.linalg.lstsq(block, right[own], rcond=None)[0]
-        first = {c: [pdf[c].iloc[0]] * size for c in by}
-        return pd.DataFrame({**first, "team_id": names, "rating": rating})
+        names, ends = np.unique(np.concatenate([pdf["h"].to_numpy(str), pdf["a"].to_numpy(str)]), return_inverse=True)
+        h, a, v, size = ends[: len(pdf)], ends[len(pdf) :], pdf["v"].to_numpy(), len(names)
+        spread = lambda d: np.bincount(h, d, size) - np.bincount(a, d, size)
+        x, r = np.zeros(size), spread(pdf["vm"].to_numpy())
+        if size < 2 or pdf["n"].sum() < size:
+            r = np.zeros(size)
+        p, rr, least = r.copy(), r @ r, 1e-26 * (r @ r)
+        for _ in range(20 * size):
+            if rr <= least:
+                break
+            q = spread(v * (p[h] - p[a]))
+            step = rr / (p @ q)
+            x, r = x + step * p, r - step * q
+            p, rr = r + (r @ r) / rr * p, r @ r
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * size for c in by}, "team_id": names, "rating": x})
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in games.select(*by).schema)
-    return pairs.groupBy(*by).applyInPandas(solve, f"{kinds}, team_id string, rating double")
+    near = lambda rows: rows.groupBy(*by).applyInPandas(solve, f"{kinds}, team_id string, rating double")
+    if wide.isEmpty():
+        return near(pairs)
+    return near(pairs.join(wide, by, "left_anti")).unionByName(_massey_spread(pairs.join(wide, by, "left_semi"), by))
+
+
+def _massey_spread(pairs: DataFrame, by: list[str], least: float = 1e-26, most: int = 2000) -> DataFrame:
+    """The same ratings by conjugate gradients in joins and sums. Each step's vectors are stored in the folder that all
+    executors share; the driver sees one number a step, the largest share of a group's error that is left."""
+    side = lambda t, o, s: F.struct(F.col(t).alias("t"), F.col(o).alias("o"), "v", (F.lit(s) * F.col("vm")).alias("vm"), "n")
+    edges_ = written(pairs.select(*by, F.inline(F.array(side("h", "a", 1.0), side("a", "h", -1.0)))), "pairs")
+    now = edges_.groupBy(*by, "t").agg(F.sum("v").alias("degree"), F.sum("vm").alias("r"), F.sum("n").alias("n"))
+    full = now.groupBy(*by).agg((F.sum("n") / 2 >= F.count("*")).alias("full"))
+    now = now.join(full, by).withColumn("r", F.when(F.col("full"), F.col("r")).otherwise(0.0)).select(*by, "t", "degree", F.lit(0.0).alias("x"), "r", F.col("r").alias("p"))
+    total = lambda df, **sums: df.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    now = written(now, "ratings")
+    start = written(total(now, first=F.col("r") * F.col("r")), "ratings-start")
+    for _ in range(most):
+        drawn = edges_.join(now.select(*by, F.col("t").alias("o"), F.col("p").alias("po")), [*by, "o"]).groupBy(*by, "t").agg(F.sum(F.col("v") * F.col("po")).alias("s"))
+        moved = now.join(drawn, [*by, "t"]).withColumn("q", F.col("degree") * F.col("p") - F.col("s"))
+        step = total(moved, rr=F.col("r") * F.col("r"), pq=F.col("p") * F.col("q")).withColumn("step", F.coalesce(F.try_divide("rr", "pq"), F.lit(0.0)))
+        moved = written(moved.join(step.select(*by, "rr", "step"), by).select(*by, "t", "degree", "p", "rr", (F.col("x") + F.col("step") * F.col("p")).alias("x"), (F.col("r") - F.col("step") * F.col("q")).alias("r")), "ratings")
+        after = total(moved, new=F.col("r") * F.col("r"))
+        left = after.join(start, by).agg(F.max(F.coalesce(F.try_divide("new", "first"), F.lit(0.0)))).first()[0]
+        turn = F.coalesce(F.try_divide("new", "rr"), F.lit(0.0))
+        now = moved.join(after, by).select(*by, "t", "degree", "x", "r", (F.col("r") + turn * F.col("p")).alias("p"))
+        if left is None or left <= least:
+            break
+    return now.select(*by, F.col("t").alias("team_id"), F.col("x").alias("rating"))
 
 
 def posterior(games: DataFrame, priors: DataFrame | None = None, by: list[str] = ["season_id"], sigma0: float = 1.0, sigma: float = 4.0) -> DataFrame:  # noqa: B006
@@ -107,13 +141,16 @@ def posterior(games: DataFrame, priors: DataFrame | None = None, by: list[str] =
     if priors is None:
         margins = margins.withColumn("mu0", F.lit(0.0))
     else:
-        prior = priors.filter("rpi is not null and rpi <> 0").select(*by, "team_id", ((F.col("rpi") - 0.5) * 10).alias("mu0"))
-        margins = margins.join(prior, [*by, "team_id"], "left").withColumn("mu0", F.coalesce("mu0", F.lit(0.0)))
+        margins = margins.join(_prior_means(priors, by), [*by, "team_id"], "left").withColumn("mu0", F.coalesce("mu0", F.lit(0.0)))
     before, each = 1.0 / sigma0**2, 1.0 / sigma**2
     precision = before + F.col("n") * each
     return margins.select(*by, "team_id", ((before * F.col("mu0") + F.col("m") * each) / precision).alias("mu"), (1.0 / precision).alias("var"))
 
 
+def _prior_means(priors: DataFrame, by: list[str]) -> DataFrame:
+    return priors.filter("rpi is not null and rpi <> 0").select(*by, "team_id", ((F.col("rpi") - 0.5) * 10).alias("mu0"))
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) from md5 of the parts."""
     digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 12)
@@ -126,20 +163,128 @@ def normal(*parts: Column) -> Column:
     return F.sqrt(-2 * F.log(one)) * F.cos(2 * 3.141592653589793 * two)
 
 
-def project_rpi(games: DataFrame, remaining: DataFrame, priors: DataFrame | None = None, n_sims: int = 1000, seed: int = 42, by: list[str] = ["season_id"]) -> DataFrame:  # noqa: B006
+#: Cells (team by simulation) up to which one task simulates a group; larger groups are simulated in rows.
+MOST_CELLS = 20_000_000
+
+
+def project_rpi(games: DataFrame, remaining: DataFrame, priors: DataFrame | None = None, n_sims: int = 1000, seed: int = 42, by: list[str] = ["season_id"], most_cells: int = MOST_CELLS) -> DataFrame:  # noqa: B006
     """Median, 5th and 95th percentile of the end-of-season RPI over simulations of the remaining games. Groups without
     remaining games have no rows; a remaining game with a team that has not played is skipped.
 
-    Only the remaining games are simulated; the actual results enter as one aggregated edge table for all simulations."""
+    A group (season, or season and week) of up to most_cells teams by simulations is simulated in one task, on vectors over
+    simulations; larger groups in rows, with the same draws. Draws depend on the first key of the group, so that all weeks
+    of a season share them."""
+    left = remaining.select(*by, F.lit(1).alias("kind"), "id", F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), F.lit(0).alias("m"))
+    done = games.filter("status = 'final'").select(*by, F.lit(0).alias("kind"), "id", F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), (F.col("home_score") - F.col("away_score")).alias("m"))
+    open_groups = left.select(*by).distinct()
+    done = done.join(open_groups, by, "left_semi")
+    wide = done.groupBy(*by).agg(F.count("*").alias("rows")).filter(F.col("rows") * 2 * n_sims > most_cells).select(*by)
+    rows = done.unionByName(left).withColumn("mu0", F.lit(None).cast("double"))
+    if priors is not None:
+        none = F.lit(None).cast("string")
+        rows = rows.unionByName(_prior_means(priors, by).join(open_groups, by, "left_semi").select(*by, F.lit(2).alias("kind"), none.alias("id"), F.col("team_id").alias("h"), none.alias("a"), F.lit(0).alias("m"), "mu0"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in games.select(*by).schema)
+    near = lambda df: df.groupBy(*by).applyInPandas(_simulator(by, n_sims, seed), f"{kinds}, team_id string, median double, low double, high double")
+    if wide.isEmpty():
+        return near(rows)
+    spread = _project_spread(games.join(wide, by, "left_semi"), remaining.join(wide, by, "left_semi"), priors, n_sims, seed, by)
+    return near(rows.join(wide, by, "left_anti")).unionByName(spread)
+
+
+def _simulator(by: list[str], n_sims: int, seed: int, step: int = 128):
+    """The simulation of one group's rows: kind 0 final games with margin m, 1 remaining games, 2 prior means mu0 of h."""
+    import numpy as np
+    import pandas as pd
+
+    drawn: dict = {}
+
+    def draws(kind: str, group: str, name: str) -> np.ndarray:
+        """Numbers in (0, 1) of one name in all simulations, as `uniform` gives them; remembered for the current group key."""
+        from hashlib import md5
+
+        if drawn.get("group") != group:
+            drawn.clear()
+            drawn["group"] = group
+        if (kind, name) not in drawn:
+            texts = (f"{kind}|{i}|{name}|{seed}|{group}".encode() for i in range(n_sims))
+            drawn[kind, name] = (np.array([int(md5(t).hexdigest()[:12], 16) for t in texts], float) + 0.5) / float(1 << 48)
+        return drawn[kind, name]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in (*by, "team_id", "median", "low", "high")})
+        done, left = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
+        names, ends = np.unique(np.concatenate([done["h"].to_numpy(str), done["a"].to_numpy(str)]), return_inverse=True)
+        at = {t: i for i, t in enumerate(names)}
+        left = left[left["h"].isin(at) & left["a"].isin(at)]
+        if not len(left):
+            return none
+        size = len(names)
+        h, a, m = ends[: len(done)], ends[len(done) :], done["m"].to_numpy(float)
+        mu0 = np.zeros(size)
+        for t, mu in zip(pdf["h"][pdf["kind"] == 2], pdf["mu0"][pdf["kind"] == 2]):
+            if t in at:
+                mu0[at[t]] = mu
+        played, total = np.bincount(ends, minlength=size), np.bincount(h, m, size) - np.bincount(a, m, size)
+        precision = 1 + played / 16.0
+        mu, spread = (mu0 + total / 16.0) / precision, np.sqrt(1 / precision)
+        group = str(pdf[by[0]].iloc[0])
+        lh, la = (left[c].map(at).to_numpy() for c in ("h", "a"))
+        strength = {}
+        for t in np.unique(np.concatenate([lh, la])).tolist():
+            z = np.sqrt(-2 * np.log(draws("r", group, names[t]))) * np.cos(2 * 3.141592653589793 * draws("a", group, names[t]))
+            strength[t] = mu[t] + spread[t] * z
+        home = np.stack([draws("g", group, i) < 1 / (1 + np.exp(-0.4 * (strength[x] - strength[y]))) for i, x, y in zip(left["id"], lh, la)])
+        # edges (team, opponent), sorted by team: actual games, wins and losses; then what each simulation adds
+        t, o = np.concatenate([h, a, lh, la]), np.concatenate([a, h, la, lh])
+        edge, where = np.unique(t * size + o, return_inverse=True)
+        count = len(edge)
+        first, second = where[: 2 * len(done)], where[2 * len(done) :]
+        result = np.concatenate([m, -m])
+        won, lost = np.bincount(first, result > 0, count), np.bincount(first, result < 0, count)
+        n = np.bincount(where, minlength=count).astype(float)
+        t, o = edge // size, edge % size
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))  # every team has an edge
+        summed = lambda x: np.add.reduceat(x, starts, axis=0)
+        games_of = summed(n)[:, None]
+        out = np.empty((size, n_sims), np.int64)  # millionths
+        for begin in range(0, n_sims, step):
+            own = home[:, begin : begin + step].astype(float)
+            w, l = (np.repeat(x[:, None], own.shape[1], axis=1) for x in (won, lost))  # noqa: E741
+            np.add.at(w, second, np.concatenate([own, 1 - own]))
+            np.add.at(l, second, np.concatenate([1 - own, own]))
+            tw, tl = summed(w), summed(l)
+            rest = tw[o] + tl[o] - w - l
+            some = rest > 0
+            share = np.where(some, n[:, None] * (tw[o] - l) / np.where(some, rest, 1), 0)
+            weight = summed(n[:, None] * some)
+            owp = np.where(weight > 0, summed(share) / np.where(weight > 0, weight, 1), 0)
+            oowp = summed(n[:, None] * owp[o]) / games_of
+            wp = np.where(tw + tl > 0, tw / np.where(tw + tl > 0, tw + tl, 1), 0)
+            out[:, begin : begin + step] = (np.rint((0.25 * wp + 0.5 * owp + 0.25 * oowp) * 1e9).astype(np.int64) + 500) // 1000
+        out.sort(axis=1)
+
+        def percentile(percent: int) -> np.ndarray:
+            """Between two places by their distance, in whole numbers; halves of a millionth up."""
+            low, rest = divmod(percent * (n_sims - 1), 100)
+            between = out[:, low] * (100 - rest) + out[:, min(low + 1, n_sims - 1)] * rest
+            return (2 * between + 100) // 200 / 1e6
+
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * size for c in by}, "team_id": names, "median": percentile(50), "low": percentile(5), "high": percentile(95)})
+
+    return run
+
+
+def _project_spread(games: DataFrame, remaining: DataFrame, priors: DataFrame | None, n_sims: int, seed: int, by: list[str]) -> DataFrame:
+    """The same projection in rows, for groups too large for a task: the actual results enter as one aggregated edge table."""
     strength = posterior(games, priors, by)
     sims = games.sparkSession.range(n_sims).select(F.col("id").cast("int").alias("sim"))
     left = remaining.select(*by, "id", F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"))
     known = left.join(strength.select(*by, F.col("team_id").alias("h"), F.col("mu").alias("mh"), F.col("var").alias("vh")), [*by, "h"])
     known = known.join(strength.select(*by, F.col("team_id").alias("a"), F.col("mu").alias("ma"), F.col("var").alias("va")), [*by, "a"])
     drawn = known.crossJoin(F.broadcast(sims))  # n_sims rows: a parameter
-    group = [F.col(c) for c in by]
-    s = lambda t, m, v: F.col(m) + F.sqrt(F.col(v)) * normal(F.col("sim"), F.col(t), F.lit(seed), *group)
-    home = (uniform(F.lit("g"), F.col("sim"), F.col("id"), F.lit(seed), *group) < win_probability(s("h", "mh", "vh") - s("a", "ma", "va"))).cast("int")
+    group = F.col(by[0])
+    s = lambda t, m, v: F.col(m) + F.sqrt(F.col(v)) * normal(F.col("sim"), F.col(t), F.lit(seed), group)
+    home = (uniform(F.lit("g"), F.col("sim"), F.col("id"), F.lit(seed), group) < win_probability(s("h", "mh", "vh") - s("a", "ma", "va"))).cast("int")
     sides = drawn.withColumn("home", home).select(*by, "sim", F.inline(F.array(F.struct(F.col("h").alias("t"), F.col("a").alias("o"), F.col("home").alias("w")), F.struct(F.col("a").alias("t"), F.col("h").alias("o"), (1 - F.col("home")).alias("w")))))
     simulated = sides.groupBy(*by, "sim", "t", "o").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(1 - F.col("w")).alias("l"))
     open_groups = known.select(*by).distinct()
@@ -147,10 +292,9 @@ def project_rpi(games: DataFrame, remaining: DataFrame, priors: DataFrame | None
     keys = [*by, "sim"]
     both = actual.select(*keys, "t", "o", "n", "w", "l").unionByName(simulated).groupBy(*keys, "t", "o").agg(*[F.sum(c).alias(c) for c in ("n", "w", "l")])
     ranked = rpi_of_edges(both, keys)
-    p = F.percentile("rpi", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    p = F.percentile(F.round(F.col("rpi") * 1e6), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))  # millionths
     out = ranked.groupBy(*by, "team_id").agg(p.alias("p"))
-    # between two places a percentile can be half a unit: scaled and rounded as doubles, as SQL engines do
-    return out.select(*by, "team_id", *[(F.floor(F.col("p")[i] * 1e6 + 0.5) / 1e6).alias(n) for i, n in ((1, "median"), (0, "low"), (2, "high"))])
+    return out.select(*by, "team_id", *[(F.round(F.round(F.col("p")[i], 4)) / 1e6).alias(n) for i, n in ((1, "median"), (0, "low"), (2, "high"))])
 
 
 def weekly(games: DataFrame, starts: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
@@ -219,6 +363,13 @@ def with_rank(rankings: DataFrame, by: list[str]) -> DataFrame:
 
 
 def summary(rankings: DataFrame, season: str, most: int = 30) -> DataFrame:
-    """The best teams of a season with display strings."""
+    """The best teams of a season by rpi, with place and display strings; a rating that is missing reads N/A."""
     rows = rankings.filter(F.col("season_id") == season)
-    return rows.select("team_id", F.concat_ws("-", "wins", "losses").alias("record"), F.format_string("%.4f", F.coalesce("rpi", F.lit(0.0))).alias("rpi_text"), F.coalesce("rpi", F.lit(0.0)).alias("rpi")).orderBy(F.desc("rpi"), "team_id").limit(most)
+    have = lambda c: F.col(c) if c in rankings.columns else F.lit(None).cast("double")
+    text = lambda c: F.coalesce(fixed(have(c), 4), F.lit("N/A"))
+    signed = lambda c: F.coalesce(F.concat(F.when(have(c) < 0, "-").otherwise("+"), fixed(F.abs(have(c)), 3)), F.lit("N/A"))
+    best = rows.withColumn("order", F.coalesce("rpi", F.lit(0.0))).orderBy(F.desc("order"), "team_id").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("order"), "team_id"))  # over `most` rows
+    return best.select(
+        place.alias("rank"), "team_id", F.concat_ws("-", "wins", "losses").alias("record"), "rpi", text("rpi").alias("rpi_text"), signed("massey").alias("massey_text"), signed("massey_recency").alias("massey_recency_text"), text("projected_rpi_flat").alias("projected_text")
+    )

@@ -12,9 +12,10 @@ def _(t):
     return load.dedup_player_stats(t.raw_stats, STATS_ORDER).select("game_id", "player_id", "player_name", "position", "team_id", "goals", "assists")
 
 
-@query("u02_dedup_plays", "SELECT game_id, min(seq) AS seq FROM fx_plays_raw GROUP BY game_id, quarter, time")
+@query("u02_dedup_plays", "SELECT game_id, seq % 7 AS play_sequence, min(seq) AS seq FROM fx_plays_raw GROUP BY 1, 2")
 def _(t):
-    return load.keep_first(t.plays, ["game_id", "quarter", "time"], ["seq"]).select("game_id", "seq")
+    plays = t.plays.select("game_id", (F.col("seq") % 7).alias("play_sequence"), "seq")  # numbers that several plays share
+    return load.keep_first(plays, ["game_id", "play_sequence"], ["seq"])
 
 
 @query("u03_dedup_player_seasons", "SELECT player_id, season_id, min(division_id) AS division_id FROM d_linked GROUP BY player_id, season_id")
@@ -99,7 +100,7 @@ def _(t):
     return load.keep_first(t.games.filter("ncaa_game_id is not null"), ["ncaa_game_id"], [F.desc("id")]).select("ncaa_game_id", "id")
 
 
-@query("c08_game_rows", "SELECT f.ncaa_game_id, g.home_team_id, g.away_team_id FROM (SELECT ncaa_game_id, min(ordinal) AS o FROM fx_feed GROUP BY ncaa_game_id) m JOIN fx_feed f ON f.ncaa_game_id = m.ncaa_game_id AND f.ordinal = m.o JOIN fx_games g ON CAST(g.id AS BIGINT) = f.ordinal")
+@query("c08_game_rows", "SELECT f.ncaa_game_id, CASE ordinal % 11 WHEN 0 THEN NULL WHEN 1 THEN g.away_team_id ELSE g.home_team_id END AS home_team_id, CASE ordinal % 11 WHEN 1 THEN g.home_team_id ELSE g.away_team_id END AS away_team_id FROM (SELECT ncaa_game_id, min(ordinal) AS o FROM fx_feed GROUP BY ncaa_game_id) m JOIN fx_feed f ON f.ncaa_game_id = m.ncaa_game_id AND f.ordinal = m.o JOIN fx_games g ON CAST(g.id AS BIGINT) = f.ordinal")
 def _(t):
     from fieldhouse.operators.names import resolve_teams
 

@@ -86,9 +86,13 @@ def _(t):
     return quality.coverage(_compared(t))
 
 
-@query("a18_roster_coverage", "SELECT team_id, count(DISTINCT game_id) AS games, count(*) AS entries, count(player_id) AS resolved, CAST(count(DISTINCT CASE WHEN player_id IS NULL THEN player_name || '|' || jersey_number END) AS INT) AS unresolved_names FROM d_stats GROUP BY team_id")
+@query("a18_roster_coverage", """
+SELECT b.*, coalesce(u.n, 0) AS unresolved_names, coalesce(u.listed, '') AS listed FROM (SELECT team_id, count(DISTINCT game_id) AS games, count(*) AS entries, count(player_id) AS resolved FROM d_stats GROUP BY team_id) b
+LEFT JOIN (SELECT team_id, CAST(count(*) AS INT) AS n, string_agg(player_name || '#' || jersey_number || ':' || ids, ';' ORDER BY player_name, jersey_number) AS listed
+  FROM (SELECT team_id, player_name, jersey_number, string_agg(DISTINCT game_id, ',' ORDER BY game_id) AS ids FROM d_stats WHERE player_id IS NULL GROUP BY ALL) x GROUP BY team_id) u ON u.team_id = b.team_id""")
 def _(t):
-    return quality.roster_coverage(t.stats).select("team_id", "games", "entries", "resolved", "unresolved_names")
+    told = F.array_join(F.transform("unresolved", lambda x: F.concat(x["name"], F.lit("#"), x["jersey"], F.lit(":"), F.array_join(x["game_ids"], ","))), ";")
+    return quality.roster_coverage(t.stats).select("team_id", "games", "entries", "resolved", "unresolved_names", F.coalesce(told, F.lit("")).alias("listed"))
 
 
 @query("q07_duplicate_matchups", "SELECT season_id, home_team_id, away_team_id, game_date, count(*) AS n FROM fx_games GROUP BY ALL HAVING count(*) > 1")
@@ -149,7 +153,15 @@ def _(t):
     return t.games.filter("status = 'scheduled'").select("id").join(failed, "id", "left_anti")
 
 
-@query("q_integrity", "SELECT 'duplicate matchups' AS check_name, (SELECT count(*) FROM (SELECT 1 FROM fx_games GROUP BY season_id, home_team_id, away_team_id, game_date HAVING count(*) > 1) x) AS violations UNION ALL SELECT c, 0 FROM (SELECT unnest(['teams without games', 'teams without season stats', 'orphan home teams', 'stray teams']) AS c) y")
+_FINALS_ALONE = "SELECT 1 FROM d_sides d WHERE NOT EXISTS (SELECT 1 FROM d_stats s WHERE s.team_id = d.team_id AND s.season_id = d.season_id) GROUP BY d.team_id, d.season_id"
+_LINKED_ALONE = "SELECT DISTINCT team_id, season_id FROM d_linked WHERE (team_id, season_id) NOT IN (SELECT (team_id, season_id) FROM {})"
+
+
+@query("q_integrity", f"""
+SELECT 'duplicate matchups' AS check_name, (SELECT count(*) FROM (SELECT 1 FROM fx_games GROUP BY season_id, home_team_id, away_team_id, game_date HAVING count(*) > 1) x) AS violations
+UNION ALL SELECT 'finals without player rows', (SELECT count(*) FROM ({_FINALS_ALONE}) x)
+UNION ALL SELECT 'linked rows without seasons', (SELECT count(*) FROM ({_LINKED_ALONE.format('d_pss')}) x) + (SELECT count(*) FROM ({_LINKED_ALONE.format('d_pseasons')}) x)
+UNION ALL SELECT c, 0 FROM (SELECT unnest(['teams without games', 'teams without season stats', 'orphan home teams', 'stray teams']) AS c) y""")
 def _(t):
     tables = {"games": t.games, "team_seasons": t.team_seasons, "team_season_stats": t.team_season_stats, "player_game_stats": t.stats, "player_season_stats": t.player_season_stats, "player_seasons": t.player_seasons}
-    return quality.integrity(tables).filter("check_name not in ('finals without player rows', 'linked rows without seasons')")
+    return quality.integrity(tables)

@@ -1,5 +1,7 @@
 """Rankings."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fieldhouse.operators import rankings
@@ -17,7 +19,7 @@ e AS (SELECT {by}, t, o, count(*) n, sum(CASE WHEN f > a THEN 1 ELSE 0 END) w, s
 r AS (SELECT {by}, t, sum(w) w, sum(l) l FROM e GROUP BY {by}, t),
 p AS (SELECT {of('e')}, e.t, CAST(sum(CASE WHEN r.w + r.l - e.w - e.l > 0 THEN e.n * CAST(r.w - e.l AS DOUBLE) / (r.w + r.l - e.w - e.l) END) AS DOUBLE) / sum(CASE WHEN r.w + r.l - e.w - e.l > 0 THEN e.n END) owp FROM e JOIN r ON {on('r', 'e')} AND r.t = e.o GROUP BY {of('e')}, e.t),
 q AS (SELECT {of('e')}, e.t, sum(e.n * coalesce(p.owp, 0)) / sum(e.n) oowp FROM e JOIN p ON {on('p', 'e')} AND p.t = e.o GROUP BY {of('e')}, e.t),
-rpi AS (SELECT {of('r')}, r.t AS team_id, CAST(r.w AS BIGINT) wins, CAST(r.l AS BIGINT) losses, round(0.25 * coalesce(CAST(r.w AS DOUBLE) / nullif(r.w + r.l, 0), 0) + 0.5 * coalesce(p.owp, 0) + 0.25 * coalesce(q.oowp, 0), 6) rpi FROM r JOIN p ON {on('p', 'r')} AND p.t = r.t JOIN q ON {on('q', 'r')} AND q.t = r.t)"""
+rpi AS (SELECT {of('r')}, r.t AS team_id, CAST(r.w AS BIGINT) wins, CAST(r.l AS BIGINT) losses, CAST(round(CAST(0.25 * coalesce(CAST(r.w AS DOUBLE) / nullif(r.w + r.l, 0), 0) + 0.5 * coalesce(p.owp, 0) + 0.25 * coalesce(q.oowp, 0) AS DECIMAL(18, 9)), 6) AS DOUBLE) rpi FROM r JOIN p ON {on('p', 'r')} AND p.t = r.t JOIN q ON {on('q', 'r')} AND q.t = r.t)"""
 
 
 _R = "team_id", "wins", "losses", "rpi"
@@ -28,6 +30,40 @@ def _(t):
     return rankings.rpi(t.games).select("season_id", *_R)
 
 
+def _fit_sql(by: str, weight: str = "1.0") -> str:
+    """What least squares must give back for each team: the weighted sum of its clamped margins (normal equations), and a
+    zero for the mean rating. 0 in groups with fewer games than teams."""
+    return f"""
+WITH g AS (SELECT *, {weight} AS v, greatest(least(home_score - away_score, 8), -8) AS m, max(game_date) OVER (PARTITION BY {by}) AS last FROM fx_games WHERE status = 'final'),
+s AS (SELECT {by}, home_team_id AS team_id, v, m, last, game_date FROM g UNION ALL SELECT {by}, away_team_id, v, -m, last, game_date FROM g),
+t AS (SELECT {by}, team_id, sum(v * m) AS fitted, count(*) AS games FROM s GROUP BY {by}, team_id),
+n AS (SELECT {by}, sum(games) / 2 AS games, count(*) AS teams FROM t GROUP BY {by})
+SELECT {', '.join('t.' + k.strip() for k in by.split(','))}, team_id, t.games, CASE WHEN n.games >= n.teams AND n.teams >= 2 THEN round(CAST(fitted AS DOUBLE), 5) + 0.0 ELSE 0.0 END AS fitted, 0.0 AS mean_rating
+FROM t JOIN n ON {' AND '.join(f't.{k.strip()} = n.{k.strip()}' for k in by.split(','))}"""
+
+
+def _fitted(t, by: list[str], rate: float | None = None):
+    """The weighted margins that the ratings explain, summed by team, and the mean rating of the group."""
+    rated = rankings.massey(t.games, by, rate=rate)
+    pairs = rankings.margins(t.games, by, rate=rate)
+    sides = pairs.select(*by, F.inline(F.array(F.struct(F.col("h").alias("team_id"), F.col("a").alias("o"), "v", "n"), F.struct(F.col("a").alias("team_id"), F.col("h").alias("o"), "v", "n"))))
+    other = rated.select(*by, F.col("team_id").alias("o"), F.col("rating").alias("theirs"))
+    joined = sides.join(rated, [*by, "team_id"]).join(other, [*by, "o"])
+    fitted = joined.groupBy(*by, "team_id").agg(F.sum("n").alias("games"), (F.round(F.sum(F.col("v") * (F.col("rating") - F.col("theirs"))), 5) + 0.0).alias("fitted"))
+    mean = rated.groupBy(*by).agg((F.round(F.avg("rating"), 6) + 0.0).alias("mean_rating"))
+    return fitted.join(mean, by)
+
+
+@query("r02_massey_fit", _fit_sql("season_id, division_id"))
+def _(t):
+    return _fitted(t, ["season_id", "division_id"])
+
+
+@query("r03_massey_recency_fit", _fit_sql("season_id", "exp(-0.02 * date_diff('day', game_date, max(game_date) OVER (PARTITION BY season_id)))"))
+def _(t):
+    return _fitted(t, ["season_id"], 0.02)
+
+
 @query("r02_massey")
 def _(t):
     return rankings.massey(t.games, ["season_id", "division_id"]).withColumn("rating", F.round("rating", 6))
@@ -67,7 +103,11 @@ every AS (SELECT season_id, sim, home_team_id, away_team_id, home_score, away_sc
   UNION ALL SELECT season_id, sim, home_team_id, away_team_id, CASE WHEN home THEN 10 ELSE 7 END, CASE WHEN home THEN 7 ELSE 10 END, 'final' FROM drawn), {rpi_sql('every', 'season_id, sim')}"""
 
 
-_BAND = "SELECT season_id, team_id, round(quantile_cont(rpi, 0.5), 6) AS median, round(quantile_cont(rpi, 0.05), 6) AS low, round(quantile_cont(rpi, 0.95), 6) AS high FROM rpi GROUP BY season_id, team_id"
+def _percentile(q: str) -> str:
+    return f"CAST(round(CAST(quantile_cont(round(rpi * 1e6), {q}) AS DECIMAL(18, 4))) AS DOUBLE) / 1e6"
+
+
+_BAND = f"SELECT season_id, team_id, {_percentile('0.5')} AS median, {_percentile('0.05')} AS low, {_percentile('0.95')} AS high FROM rpi GROUP BY season_id, team_id"
 
 
 @query("r05_projected_flat", f"WITH {_projected('SELECT NULL AS season_id, NULL AS team_id, NULL AS mu0 WHERE false')} {_BAND}")
@@ -75,16 +115,18 @@ def _(t):
     return rankings.project_rpi(t.games, t.games.filter("status = 'scheduled'"), n_sims=SIMS)
 
 
-_PRIOR = "SELECT CAST(CAST(season_id AS INT) + 1 AS VARCHAR) AS season_id, team_id, (win_pct - 0.5) * 10 AS mu0 FROM d_tss WHERE win_pct IS NOT NULL AND win_pct <> 0"
+_PRIOR = "SELECT CAST(CAST(season_id AS INT) + 1 AS VARCHAR) AS season_id, team_id, (rpi - 0.5) * 10 AS mu0 FROM past.rpi WHERE rpi <> 0"
+#: Last season's rpi, under names of its own.
+_PAST = re.sub(r"\b(m|e|r|p|q|rpi) AS \(", r"past_\1 AS (", re.sub(r"\b(FROM|JOIN) (m|e|r|p|q)\b", r"\1 past_\2 \2", rpi_sql("fx_games")))
 
 
-@query("r06_projected_seeded", f"WITH {_projected(_PRIOR)} {_BAND}")
+@query("r06_projected_seeded", f"WITH {_PAST}, {_projected(_PRIOR.replace('past.rpi', 'past_rpi'))} {_BAND}")
 def _(t):
     return rankings.project_rpi(t.games, t.games.filter("status = 'scheduled'"), _priors(t), n_sims=SIMS)
 
 
 def _priors(t):
-    return rankings.prior_season(t.team_season_stats.withColumn("rpi", F.col("win_pct")))
+    return rankings.prior_season(t.rankings)
 
 
 #: wins, rpi and division of r07; the other rankings have no SQL.
@@ -118,9 +160,16 @@ def _(t):
 
 @query("j17_prior_season", f"WITH {rpi_sql('fx_games')} SELECT CAST(CAST(season_id AS INT) + 1 AS VARCHAR) AS season_id, team_id, rpi FROM rpi WHERE rpi <> 0")
 def _(t):
-    return rankings.prior_season(rankings.rpi(t.games))
+    return rankings.prior_season(t.rankings)
 
 
-@query("r09_summary", f"WITH {rpi_sql('fx_games')} SELECT team_id, wins || '-' || losses AS record, printf('%.4f', rpi) AS rpi_text, rpi FROM rpi WHERE season_id = '1997' ORDER BY rpi DESC, team_id LIMIT 30")
+@query("r09_summary", f"WITH {rpi_sql('fx_games')} SELECT CAST(row_number() OVER (ORDER BY rpi DESC, team_id) AS INT) AS rank, team_id, wins || '-' || losses AS record, rpi, printf('%.4f', rpi) AS rpi_text, 'N/A' AS massey_text, 'N/A' AS massey_recency_text, 'N/A' AS projected_text FROM rpi WHERE season_id = '1997' ORDER BY rpi DESC, team_id LIMIT 30")
 def _(t):
     return rankings.summary(rankings.rpi(t.games), "1997")
+
+
+@query("r09_summary_full")
+def _(t):
+    """With margin ratings and the projection, of a season with games left."""
+    own = t.games.filter("season_id = '2000'")
+    return rankings.summary(rankings.rank_teams(own, own.filter("status = 'scheduled'"), n_sims=SIMS), "2000")

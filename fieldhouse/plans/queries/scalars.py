@@ -31,7 +31,7 @@ def _(t):
     return t.raw_stats.select(F.col("goalie_minutes").alias("s"), S.format_seconds("goalie_minutes", "-").alias("clock")).distinct()
 
 
-@query("e06_display", "SELECT season_id, team_id, wins || '-' || losses AS record, printf('%.3f', round(win_pct + 1e-9, 3)) AS pct, CAST(goals_for AS VARCHAR) AS cell FROM d_tss")
+@query("e06_display", "SELECT season_id, team_id, wins || '-' || losses AS record, CASE WHEN win_pct IS NULL THEN '-' ELSE printf('%.3f', win_pct) END AS pct, CAST(goals_for AS VARCHAR) AS cell FROM d_tss")
 def _(t):
     return t.team_season_stats.select("season_id", "team_id", S.format_record("wins", "losses").alias("record"), S.format_pct("win_pct").alias("pct"), S.format_cell("goals_for").alias("cell"))
 
@@ -88,15 +88,19 @@ def _(t):
     return t.teams.select("id", S.token_overlap("name", "short_name").alias("overlap"))
 
 
-@query("e15_name_confidence", "SELECT a.id AS a, b.id AS b, 'exact' AS confidence FROM fx_teams a JOIN fx_teams b ON a.division_id = b.division_id AND contains(lower(a.name), lower(b.short_name)) UNION ALL SELECT a.id, b.id, 'fuzzy' FROM fx_teams a JOIN fx_teams b ON a.division_id = b.division_id AND NOT contains(lower(a.name), lower(b.short_name)) AND len(list_intersect(string_split(lower(a.name), ' '), string_split(lower(b.short_name), ' '))) * 2 >= len(list_distinct(list_concat(string_split(lower(a.name), ' '), string_split(lower(b.short_name), ' '))))")
+@query("e15_name_confidence", """
+SELECT a, b, CASE WHEN contains(x, y) OR contains(y, x) THEN 'exact' WHEN 3 * len(list_intersect(string_split(x, ' '), string_split(y, ' '))) >= len(list_distinct(string_split(x, ' '))) + len(list_distinct(string_split(y, ' '))) THEN 'fuzzy' END AS confidence
+FROM (SELECT DISTINCT h.id AS a, o.id AS b, lower(h.name) AS x, CASE WHEN CAST(o.id AS BIGINT) % 2 = 0 THEN lower(h.short_name) || ' ' || lower(o.short_name) ELSE lower(o.short_name) END AS y FROM fx_games g JOIN fx_teams h ON h.id = g.home_team_id JOIN fx_teams o ON o.id = g.away_team_id) z""")
 def _(t):
-    a, b = t.teams.select(F.col("id").alias("a"), "name", "division_id"), t.teams.select(F.col("id").alias("b"), "short_name", "division_id")
-    return a.join(b, "division_id").withColumn("confidence", S.name_confidence("name", "short_name")).filter("confidence is not null").select("a", "b", "confidence")
+    a, b = t.teams.select(F.col("id").alias("home_team_id"), "name", F.col("short_name").alias("own")), t.teams.select(F.col("id").alias("away_team_id"), "short_name")
+    met = t.games.select("home_team_id", "away_team_id").distinct().join(a, "home_team_id").join(b, "away_team_id")
+    other = F.when(F.col("away_team_id").cast("long") % 2 == 0, F.concat_ws(" ", "own", "short_name")).otherwise(F.col("short_name"))
+    return met.select(F.col("home_team_id").alias("a"), F.col("away_team_id").alias("b"), S.name_confidence("name", other).alias("confidence"))
 
 
-@query("e16_make_slug", "SELECT id, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-') AS made FROM fx_teams")
+@query("e16_make_slug", "SELECT id, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-') || '-st-os-nns-ny' AS made FROM fx_teams")
 def _(t):
-    return t.teams.select("id", S.make_slug("name").alias("made"))
+    return t.teams.select("id", S.make_slug(F.concat("name", F.lit(" St. O's Ńňš\u0430 (NY)"))).alias("made"))
 
 
 @query("e17_infer_mascot", "SELECT id, 'University of' AS short, name AS mascot FROM fx_teams")

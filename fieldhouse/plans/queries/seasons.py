@@ -1,6 +1,8 @@
 """Aggregations and windows: records, season totals, strength of schedule."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldhouse.operators import enrich, grid, pbp, quality
@@ -156,10 +158,24 @@ def _(t):
     return t.games.select("id", (F.row_number().over(Window.partitionBy("game_date", "home_team_id", "away_team_id").orderBy("id")) > 1).alias("again"))
 
 
-@query("c13_enrichment", "SELECT 'player_game_stats' AS table_name, count(*) AS n FROM d_stats UNION ALL SELECT 'player_season_stats', count(*) FROM d_pss UNION ALL SELECT 'team_season_stats', count(*) FROM d_tss UNION ALL SELECT 'player_seasons', count(*) FROM d_pseasons UNION ALL SELECT 'games', count(*) FROM fx_games")
+def _sums(name: str, table: str, columns: list[str]) -> str:
+    return f"SELECT '{name}' AS table_name, count(*) AS n, " + ", ".join(f"CAST(sum({c}) AS DOUBLE) AS s{i}" for i, c in enumerate(columns)) + f" FROM {table}"
+
+
+_MADE = {
+    "player_game_stats": ("d_stats", ["points", "saves", "CAST(opponent_id AS BIGINT)"]),
+    "player_season_stats": ("d_pss", ["points", "games_played", "points_per_game"]),
+    "team_season_stats": ("d_tss", ["wins", "total_shots", "shooting_pct"]),
+    "player_seasons": ("d_pseasons", ["player_id", "CAST(team_id AS BIGINT)", "CAST(jersey_number AS BIGINT)"]),
+    "games": ("fx_games", ["home_score", "away_score", "CAST(away_team_id AS BIGINT)"]),
+}
+
+
+@query("c13_enrichment", "SELECT table_name, n, round(s0, 4) AS s0, round(s1, 4) AS s1, round(s2, 4) AS s2 FROM (" + " UNION ALL ".join(_sums(k, *v) for k, v in _MADE.items()) + ") x")
 def _(t):
     made = enrich.enrich({"games": t.games, "player_game_stats": t.stats.drop("opponent_id"), "teams": t.teams, "players": t.players})
-    return quality.row_counts({k: made[k] for k in ("player_game_stats", "player_season_stats", "team_season_stats", "player_seasons", "games")})
+    parts = [made[k].agg(F.count("*").alias("n"), *[F.round(F.sum(F.expr(c)).cast("double"), 4).alias(f"s{i}") for i, c in enumerate(columns)]).withColumn("table_name", F.lit(k)) for k, (_, columns) in _MADE.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("c09_season_rows", "SELECT DISTINCT season_id, make_date(CAST(season_id AS INT), 2, 1) AS start_date, make_date(CAST(season_id AS INT), 5, 31) AS end_date, season_id = '2000' AS is_current FROM fx_games")

@@ -11,7 +11,7 @@ from fieldhouse.fixtures import STATS_ORDER, League, with_views
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
-MODULES = ["scalars", "relational", "seasons", "loading", "playbyplay", "matching", "ranked", "quality", "views"]
+MODULES = ["scalars", "relational", "seasons", "loading", "landing", "playbyplay", "matching", "ranked", "quality", "views"]
 
 #: SQL of the derived tables, for the queries' SQL.
 DERIVED = {

@@ -24,12 +24,32 @@ ROSTERS = "array<struct<teamID:string,players:array<struct<playerID:string,name:
 def files(spark: SparkSession, base: str, season: str | None = None, division: int | None = None) -> DataFrame:
     """(path, season, division, source, game_id, kind, body) of every game file; division 1 in the layout without one."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(base, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return _chosen(raw, season, division)
+
+
+def packed(spark: SparkSession, folder: str, season: str | None = None, division: int | None = None) -> DataFrame:
+    """The same from a packed landing folder: JSON lines that hold a file's path and its text. Millions of small files are
+    a burden to any file system; a landing job packs them."""
+    return _chosen(spark.read.schema("path string, value string").json(folder), season, division)
+
+
+def pack(found: DataFrame, folder: str) -> None:
+    """Writes (path, value) rows as a packed landing folder."""
+    found.select("path", "value").write.json(folder)
+
+
+def keyed(raw: DataFrame) -> DataFrame:
+    """The keys that stand in the paths of (path, value) rows."""
     part = lambda i: F.regexp_extract("path", _PATH, i)
     name = part(4)
-    out = raw.filter(F.col("path").rlike(_PATH)).select(
+    return raw.filter(F.col("path").rlike(_PATH)).select(
         "path", part(1).alias("season_id"), F.coalesce(F.nullif(part(2), F.lit("")), F.lit("1")).cast("int").alias("division_id"), part(3).alias("source"), game_id_of(name).alias("game_id"),
         F.regexp_extract(name, r"_([a-z]+(?:_[a-z]+)*)\.json$", 1).alias("kind"), F.col("value").alias("body"),
     )
+
+
+def _chosen(raw: DataFrame, season: str | None, division: int | None) -> DataFrame:
+    out = keyed(raw)
     if season is not None:
         out = out.filter(F.col("season_id") == season)
     return out if division is None else out.filter(F.col("division_id") == division)
@@ -138,7 +158,12 @@ def canonical_plays(found: DataFrame) -> DataFrame:
 def rosters(spark: SparkSession, path: str) -> DataFrame:
     """(team_id, player_id, name, hometown, high_school, class_year, ordinal): ids that are no numbers go; a later entry of
     a player replaces an earlier one."""
-    body = spark.read.text(path, wholetext=True).select(F.from_json("value", ROSTERS).alias("r"))
+    return rosters_of(spark.read.text(path, wholetext=True))
+
+
+def rosters_of(bodies: DataFrame) -> DataFrame:
+    """The same from (value) rows that hold a roster file each."""
+    body = bodies.select(F.from_json("value", ROSTERS).alias("r"))
     teams = body.select(F.posexplode("r").alias("team_pos", "t"))
     rows = teams.select("team_pos", F.col("t.teamID").alias("team_id"), F.posexplode("t.players").alias("pos", "p"))
     rows = rows.select(F.col("p.playerID").try_cast("long").alias("player_id"), F.struct(F.coalesce("p.teamID", "team_id").alias("team_id"), F.col("p.name").alias("name"), F.col("p.hometown").alias("hometown"), F.col("p.highSchool").alias("high_school"), F.col("p.classYear").alias("class_year")).alias("v"), (F.col("team_pos") * 100_000 + F.col("pos")).alias("ordinal"))

@@ -53,6 +53,25 @@ def test_massey_is_least_squares_with_zero_mean_parts(spark):
     assert abs(got["a"] + got["b"] + got["c"]) < 1e-9 and abs(got["x"] + got["y"]) < 1e-9
 
 
+def test_large_groups_are_rated_and_simulated_alike(spark):
+    """Groups beyond a task's share: joins and sums, simulations in rows; the same ratings and bands."""
+    import random
+
+    pick = random.Random(3)
+    rows = []
+    for i in range(90):
+        h, a = pick.sample([f"t{k}" for k in range(14)], 2)
+        over = i < 70
+        rows.append((f"g{i}", "2024" if i % 3 else "2025", 1, datetime.date(2024, 2, 1 + i % 27), h, a, pick.randrange(20) if over else None, pick.randrange(20) if over else None, "final" if over else "scheduled"))
+    games = spark.createDataFrame(rows, "id string, season_id string, division_id int, game_date date, home_team_id string, away_team_id string, home_score int, away_score int, status string")
+    left, priors = games.filter("status = 'scheduled'"), spark.createDataFrame([("2024", "t1", 0.8), ("2025", "t2", 0.1), ("2025", "zz", 0.3)], "season_id string, team_id string, rpi double")
+    for rate in (None, 0.02):
+        one, two = ({(r["season_id"], r["team_id"]): r["rating"] for r in rankings.massey(games, rate=rate, most_pairs=n).collect()} for n in (10_000, 1))
+        assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one) and any(one.values())
+    one, two = (sorted(map(tuple, rankings.project_rpi(games, left, priors, n_sims=20, most_cells=n).collect())) for n in (10**7, 1))
+    assert one == two and {r[0] for r in one} == {"2024", "2025"}
+
+
 def test_upsert_is_idempotent_and_latches(spark):
     schema = "id string, home_score int, away_score int, status string"
     old = spark.createDataFrame([("1", 3, 2, "final"), ("2", None, None, "scheduled")], schema)
@@ -87,7 +106,7 @@ def _small_league(spark):
 class _League:
     def __init__(self, spark):
         self.games = _small_league(spark)
-        self.team_season_stats = spark.createDataFrame([("2023", "a", 0.9), ("2023", "b", 0.2)], "season_id string, team_id string, win_pct double")
+        self.rankings = spark.createDataFrame([("2023", "a", 0.9), ("2023", "b", 0.2)], "season_id string, team_id string, rpi double")
 
 
 def test_all_and_weekly_rankings_are_whole(spark, monkeypatch):
