@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from fieldhouse.llm import near_dup
@@ -52,15 +53,43 @@ def corpus(seed, n):
     return docs + [(9000 + i, t) for i, t in enumerate(odd)]
 
 
-@pytest.mark.parametrize("small,deepest", [(100, 8), (3, 3)])
-def test_op5_equals_brute_force(spark, small, deepest):
-    docs = corpus(small, 250)
+@pytest.mark.parametrize("options", [{}, {"small": 3, "deepest": 3}, {"small": 8, "sparse": 0, "deepest": 2}, {"small": 100, "sparse": 0}])
+def test_op5_equals_brute_force(spark, options):
+    docs = corpus(len(options), 250)
     df = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in docs], DOCS).repartition(3)
-    rows = near_dup.linked(df, width=2, small=small, deepest=deepest).collect()
+    rows = near_dup.linked(df, width=2, **options).collect()
     got = {r["k"]: (r["n_shingles"], r["component_id"], r["k"] == r["component_id"]) for r in rows}
     assert got == brute(docs, 2) and len(rows) == len(docs)
 
 
+def loose_group(seed, n):
+    """A group whose members differ from one text in 1 to 14 words of 75: many pairs on both sides of the threshold."""
+    pick = random.Random(seed)
+    base = [f"b{i}" for i in range(75)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for at in pick.sample(range(75), pick.randrange(1, 15)):
+            words[at] = pick.choice(["x", "y", f"n{i}"]) + str(at % 9)
+        docs.append((i * 3 + 1, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 60, "sparse": 1, "deepest": 2}])
+def test_op5_large_loose_group(spark, options):
+    docs = loose_group(4, 400)
+    df = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in docs], DOCS).repartition(3)
+    got = {r["k"]: (r["n_shingles"], r["component_id"], r["k"] == r["component_id"]) for r in near_dup.linked(df, width=2, **options).collect()}
+    want = brute(docs, 2)
+    assert got == want and len({v[1] for v in want.values()}) > 20
+
+
+def test_overlaps_of_sets():
+    draw = np.random.default_rng(5)
+    left, right = ([np.unique(draw.integers(0, 3000, draw.integers(1, 900)).astype(np.uint64)) for _ in range(n)] for n in (7, 5))
+    assert near_dup.overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
 def test_op5_contract_and_stage(spark):
     docs = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (7, "q r"), (8, None), (None, "q r"), (9, "z z")]
     df = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in docs], DOCS)
@@ -71,7 +100,8 @@ def test_op5_contract_and_stage(spark):
     assert near_dup.contract(df.filter("false")).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("block", [100_000, 20])
+def test_components_of_chains_and_stars(spark, block):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(300, 200), (7, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), block=block).collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)} | {200: 200, 300: 200}
