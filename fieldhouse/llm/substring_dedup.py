@@ -17,7 +17,8 @@ where sorting decides something:
 
 Texts are shuffled once: both uses of the joined table read one exchange. Earlier means smaller doc_id, then earlier start.
 Null text is empty; null doc_id counts as the smallest id. Texts under LENGTH bytes lose nothing. A row written twice
-(same id, same text) is one document: neither copy counts as earlier. Ids must otherwise be unique.
+(same id, same text) is one document: neither copy counts as earlier. Different texts of one id are documents of their
+own, in the order of a digest of the text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldhouse.llm.substrings import LENGTH, Segmenter, repeated_starts
-from fieldhouse.llm.util import byte_values, chunks, mixed, small_batches
+from fieldhouse.llm.util import byte_values, chunks, mixed, small_batches, written
 
 #: Bytes of open runs that are suffix-sorted together; different runs of an anchor up to which they are.
 BLOCK_BYTES, MOST_RUNS = 1_500_000, 5_000
@@ -59,7 +60,7 @@ RUNS = "h long, s long, k long, place long, settled boolean"
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """Step 1. place: start of the run's first string times 256, plus the number of its strings."""
+    """Step 1, over (k, text). place: start of the run's first string times 256, plus the number of its strings."""
 
     def run(batches):
         cut = Segmenter(length)
@@ -73,7 +74,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 columns = _first_of_batch(*(np.concatenate(x) for x in zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(_i64(x)) for x in columns[:4]] + [pa.array(columns[4])], names=["h", "s", "k", "place", "settled"])
 
-    return docs.select(_key().alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(run, RUNS)
+    return docs.mapInArrow(run, RUNS)
 
 
 def _judged(runs: DataFrame, most_runs: int) -> DataFrame:
@@ -213,12 +214,25 @@ def _resolved(opened: DataFrame, length: int, block_bytes: int) -> DataFrame:
     return ordered.mapInArrow(run, "k long, place long")
 
 
+def _told_apart(texts: DataFrame, text: str) -> DataFrame:
+    """texts with a key k of one text each. Ids usually are; where an id stands for several texts, all keys become places
+    in the order of id, then text digest. The mapping is stored, so that later reads see the same places."""
+    digest = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = texts.select("k", digest.alias("digest"))
+    if rows.groupBy("k").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").isEmpty():
+        return texts
+    order = written(rows.distinct().sort("k", "digest").withColumn("place", F.monotonically_increasing_id()), "keys")
+    joined = texts.withColumn("digest", digest).join(order, ["k", "digest"])
+    return joined.select(F.col("place").alias("k"), *texts.columns[1:])
+
+
 def _cuts(docs: DataFrame, names: list[str], length: int, most_runs: int, block_bytes: int) -> DataFrame:
     """docs as columns k, then the columns of `names` renamed c0, c1, ..., then the places of its repeats (two arrays)."""
     small_batches(docs.sparkSession)
-    judged = _judged(_runs(docs, length), most_runs)
+    text = f"c{names.index('text')}"
+    texts = _told_apart(docs.select(_key().alias("k"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))), text)
+    judged = _judged(_runs(texts.select("k", F.col(text).cast("string").alias("text")), length), most_runs)
     found = judged.groupBy("k").agg(F.collect_list(F.struct("kind", "place", "h")).alias("rows"))
-    texts = docs.select(_key().alias("k"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     joined = texts.join(found, "k", "left")
     empty = F.expr("cast(array() as array<struct<kind:int,place:bigint,h:bigint>>)")
     opened = _opened(joined.select("k", *(f"c{i}" for i in range(len(names))), F.coalesce("rows", empty).alias("rows")), 1 + names.index("text"), length)

@@ -32,6 +32,8 @@ class Segmenter:
     def __init__(self, length: int = LENGTH, gram: int = GRAM):
         if not 16 <= gram < length:
             raise ValueError("a gram has 16 bytes at least and fewer than the string")
+        if length - gram + 1 > 255:
+            raise ValueError("a run has 255 strings at most: eight bits of a place hold their number")
         self.length, self.gram = length, gram
         self.powers = _powers(1 << 16)
 
@@ -52,8 +54,6 @@ class Segmenter:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xE7037ED1A0B428DB)
         h ^= h >> np.uint64(32)
-        if gram < 16:
-            raise ValueError
         del x
         bits = np.uint64(max(n - 1, 1).bit_length())
         low = h[: n - gram + 1]
@@ -125,12 +125,11 @@ class BlockSuffixes:
 
     def buckets(self, at: np.ndarray):
         """Parts of `at` that hold all suffixes of a range of leading bytes, in order; about BUCKET suffixes each."""
-        lead = (self.words[at] >> np.uint64(40)).astype(np.int64)
-        count = np.bincount(lead, minlength=1 << 24) if len(at) > BUCKET else None
-        if count is None:
+        if len(at) <= BUCKET:
             yield at
             return
-        part = (np.cumsum(count) - 1) // BUCKET  # each leading value goes where its last suffix falls
+        lead = (self.words[at] >> np.uint64(48)).astype(np.int64)  # two bytes: the counts take half a megabyte
+        part = (np.cumsum(np.bincount(lead, minlength=1 << 16)) - 1) // BUCKET  # each leading value goes where its last suffix falls
         of = part[lead]
         order = np.argsort(of, kind="stable")
         cuts = np.flatnonzero(np.diff(of[order])) + 1

@@ -101,3 +101,14 @@ def test_op6_odd_rows(spark):
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring_dedup.contract(df).collect())
     assert got == [(-1, 0), (1, 150), (1, 150), (9, 400)]
     assert substring_dedup.contract(df.filter("false")).count() == 0
+
+
+def test_op6_ids_of_several_texts(spark):
+    """An id with two texts: each is a document of its own, and a text that occurs once loses nothing."""
+    pick = random.Random(2)
+    a, b, c = ("".join(pick.choice("abcdef ") for _ in range(419)) for _ in range(3))
+    df = spark.createDataFrame([(1, b, "x", 0, 0), (5, a, "y", 0, 0), (5, b, "z", 0, 0), (None, c, "u", 0, 0), (None, a, "v", 0, 0)], DOCS)
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in substring_dedup.contract(df).collect())
+    assert got == [(0, 419, 0), (0, 419, 0), (1, 419, 0), (5, 419, 419), (5, 419, 419)]
+    out = {r["c0"]: r["text"] for r in substring_dedup.deduplicated(df).collect()}
+    assert out == {"x": b, "y": "", "z": "", "u": c, "v": a}
