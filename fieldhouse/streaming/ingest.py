@@ -1,44 +1,131 @@
-"""Incremental daily ingest: a stream over landed game-info files that upserts each batch into the games table.
+"""Incremental daily ingest: a stream over landed game files that upserts each batch and reruns what depends on it.
 
 The stream reads only files it has not seen (its checkpoint remembers them) and stops when none are left. A later file of
-the same game updates it by the upsert rules, so late scores need no watermark. Each batch writes a new version folder of
-the table and then a pointer to it: a batch that is run again after a failure writes the same version number."""
+the same game updates it by the upsert rules, so late scores need no watermark. A batch touches the seasons of its files
+only: of each table it writes a new version of those seasons, v=<batch>/season_id=<season>; other seasons stay where they
+are. The newest version of a season is current. A batch that runs again after a failure reads versions before its own
+number only and writes its own number again. Versions that an older batch has replaced are removed by the next."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldhouse.operators.load import keep_first, upsert_games
+from fieldhouse.operators.load import anti, keep_first, upsert_games
 from fieldhouse.sources import documents
 
 FILE = "value string"
 
 
-def current(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version of the table."""
-    rows = spark.read.parquet(table)
-    return rows.filter(F.col("v") == rows.agg(F.max("v")).first()[0]).drop("v")
+def _versions(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """All rows of a table's versions, before a number if one is given."""
+    rows = spark.read.option("mergeSchema", False).parquet(table)
+    rows = rows.withColumn("season_id", F.col("season_id").cast("string"))
+    return rows if before is None else rows.filter(F.col("v") < before)
+
+
+def current(spark: SparkSession, table: str, before: int | None = None, seasons: list[str] | None = None) -> DataFrame:
+    """The newest version of each season (of the given ones)."""
+    rows = _versions(spark, table, before)
+    if seasons is not None:
+        rows = rows.filter(F.col("season_id").isin(*seasons))
+    newest = rows.groupBy("season_id").agg(F.max("v").alias("v"))
+    return rows.join(F.broadcast(newest), ["season_id", "v"], "left_semi").drop("v")  # a row for each season
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def _clear(spark: SparkSession, table: str, number: int) -> None:
+    """Removes the seasons' versions that versions before this batch have replaced."""
+    if not _exists(spark, table):
+        return
+    seen = _versions(spark, table, number).select("season_id", "v").distinct().collect()  # names of folders
+    newest = {s: max(v for t, v in seen if t == s) for s, _ in seen}
+    for season, v in seen:
+        if v < newest[season]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}/season_id={season}")
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def _put(rows: DataFrame, table: str, number: int) -> None:
+    rows.write.mode("overwrite").partitionBy("season_id").parquet(f"{table}/v={number}")
+
+
+def _merged(spark: SparkSession, new: DataFrame, table: str, number: int, seasons: list[str], merge: Callable) -> None:
+    """Writes this batch's version of a table: the touched seasons' rows before it, merged with the new ones."""
+    _clear(spark, table, number)
+    if _exists(spark, table) and not (old := current(spark, table, number, seasons)).isEmpty():
+        new = merge(old.select(*new.columns), new)
+    _put(new, table, number)
+
+
+def replaced_games(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of games that come again replace those games' old rows."""
+    return anti(old, new.select("game_id").distinct(), ["game_id"]).unionByName(new)
 
 
 def games_of(lines: DataFrame) -> DataFrame:
     """Canonical games of (value, path) rows, one for each game: the later path wins."""
-    part = lambda i: F.regexp_extract("path", documents._PATH, i)
-    found = lines.select("path", part(1).alias("season_id"), F.coalesce(F.nullif(part(2), F.lit("")), F.lit("1")).cast("int").alias("division_id"), part(3).alias("source"), documents.game_id_of(part(4)).alias("game_id"), F.lit("info").alias("kind"), F.col("value").alias("body"))
-    good, _ = documents.readable(found)
+    good, _ = documents.readable(documents.keyed(lines))
     return keep_first(documents.game_info(good), ["id"], [F.col("home_score").isNull(), F.desc("path")]).drop("path")
 
 
+def _stream(spark: SparkSession, base: str, pattern: str) -> DataFrame:
+    text = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return text.schema(FILE).format("text").load(base).select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def _run(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> None:
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(merge).start().awaitTermination()
+
+
+def _seasons(rows: DataFrame) -> list[str]:
+    return sorted(r["season_id"] for r in rows.select("season_id").distinct().collect())
+
+
 def ingest_games(spark: SparkSession, base: str, table: str, checkpoint: str) -> None:
     """Processes all new info files under base into table, then stops."""
-    stream = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_info.json").schema(FILE).format("text").load(base).select("value", F.col("_metadata.file_path").alias("path"))
 
     def merge(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        new = games_of(batch)
-        # batches are numbered without gaps, and each writes the version of its number: one that runs again starts from
-        # the same version as before
-        merged = upsert_games(own.read.parquet(f"{table}/v={number - 1}"), new) if number else new
-        merged.write.mode("overwrite").parquet(f"{table}/v={number}")
+        new = games_of(batch.persist())
+        if seasons := _seasons(new):
+            _merged(own, new, table, number, seasons, upsert_games)
+        batch.unpersist()
 
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(merge).start().awaitTermination()
+    _run(_stream(spark, base, "*_info.json"), checkpoint, merge)
+
+
+def ingest(spark: SparkSession, base: str, out: str, checkpoint: str, teams: DataFrame, roster: DataFrame, derive: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> None:
+    """Processes all new game files under base: games, player_game_stats and game_plays under out, and the tables that
+    `derive` makes of the touched seasons' tables (name -> rows with season_id), then stops."""
+    from fieldhouse.operators import pbp
+    from fieldhouse.plans import daily
+
+    def merge(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        found = documents.keyed(batch.persist())
+        good, _ = documents.readable(found)
+        seasons = _seasons(found)
+        if not seasons:
+            return
+        games = keep_first(daily.game_rows(documents.game_info(good), teams), ["id"], [F.col("home_score").isNull(), F.desc("path")]).drop("path", "source")
+        _merged(own, games, f"{out}/games", number, seasons, upsert_games)
+        tables = {"games": current(own, f"{out}/games", number + 1, seasons)}
+        named = tables["games"]
+        stats = daily.stat_rows(documents.player_stats(good), named, roster).drop("path", "pos", "src_rank")
+        _merged(own, stats, f"{out}/player_game_stats", number, seasons, replaced_games)
+        plays = pbp.canonical_plays(documents.in_columns(documents.raw_plays(good), named)).join(named.select(F.col("id").alias("game_id"), "season_id"), "game_id")
+        _merged(own, plays, f"{out}/game_plays", number, seasons, replaced_games)
+        tables |= {name: current(own, f"{out}/{name}", number + 1, seasons) for name in ("player_game_stats", "game_plays")}
+        for name, rows in derive(tables | {"teams": teams}).items():
+            _clear(own, f"{out}/{name}", number)
+            _put(rows.filter(F.col("season_id").isin(*seasons)), f"{out}/{name}", number)
+        batch.unpersist()
+
+    _run(_stream(spark, base, "*.json"), checkpoint, merge)

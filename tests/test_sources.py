@@ -93,6 +93,37 @@ def test_stream_equals_batch(spark, base, tmp_path):
     assert games == {"100": ("final", 2), "200": ("final", 1), "300": ("final", 4)}
 
 
+def test_stream_reruns_touched_seasons(spark, base, tmp_path):
+    from fieldhouse.operators import rankings
+
+    (tmp_path / "rosters.json").write_text(json.dumps(ROSTER))
+    roster = documents.rosters(spark, str(tmp_path / "rosters.json"))
+    teams = spark.createDataFrame([("1", "Alpha Owls", "Alpha", "alpha", 1), ("2", "Beta Bears", "Beta", "beta", 1)], "id string, name string, short_name string, slug string, division_id int")
+    land(base, "2024", "games", "game_50_info.json", {"gameId": "50", "homeTeamId": "1", "awayTeamId": "2", "homeScore": 1, "awayScore": 9, "gameDate": "03/01/2024"})
+    out, touched = str(tmp_path / "out"), []
+
+    def derive(tables):
+        touched.append(sorted({r["season_id"] for r in tables["games"].collect()}))
+        return {"rankings": rankings.rpi(tables["games"])}
+
+    step = lambda: ingest.ingest(spark, str(base), out, str(tmp_path / "cp"), teams, roster, derive)
+    wins = lambda: {(r["season_id"], r["team_id"]): r["wins"] for r in ingest.current(spark, out + "/rankings").collect()}
+    step()
+    assert touched == [["2024", "2025"]] and wins() == {("2024", "1"): 0, ("2024", "2"): 1, ("2025", "1"): 1, ("2025", "2"): 1}
+    for name, body in (("game_300b_info.json", {"ncaaGameId": "300", "homeTeam": "Alpha", "awayTeam": "Beta", "homeScore": 4, "awayScore": 3, "gameDate": "March 9th 2025"}), ("game_200b_player_stats.json", {"away": [], "home": {"players": [{"NO": "9", "Name": "LEE, CY", "POS": "M", "G": "5", "A": "1"}]}})):
+        land(base, "2025", "ncaa", name, body)
+    step()
+    step()
+    assert touched[1:] == [["2025"]] and wins() == {("2024", "1"): 0, ("2024", "2"): 1, ("2025", "1"): 2, ("2025", "2"): 1}
+    stats = sorted((r["game_id"], r["player_id"], r["goals"]) for r in ingest.current(spark, out + "/player_game_stats").filter("season_id = '2025'").collect())
+    assert ("100", 11, 2) in stats and [s for s in stats if s[0].startswith("200")] != []
+    land(base, "2025", "games", "game_100b_info.json", {"gameId": "100", "homeTeamId": "1", "awayTeamId": "2", "homeScore": 3, "awayScore": 1, "gameDate": "02/15/2025"})
+    step()
+    kept = sorted((r["v"], r["season_id"]) for r in spark.read.parquet(out + "/games").select("v", "season_id").distinct().collect())
+    assert kept == [(0, 2024), (1, 2025), (2, 2025)]
+    assert {r["id"]: r["home_score"] for r in ingest.current(spark, out + "/games").filter("season_id = '2025'").collect()} == {"100": 3, "200": 1, "300": 4}
+
+
 def test_season_replace_and_reports(spark, tmp_path):
     rows = spark.createDataFrame([("1", "2024"), ("2", "2025")], "id string, season_id string")
     path = str(tmp_path / "t")
