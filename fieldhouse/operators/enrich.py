@@ -138,11 +138,12 @@ def team_season_stats(seasons: DataFrame, games: DataFrame, stats: DataFrame) ->
     ).drop("total_goals", "total_goals_allowed")
 
 
-def owp_simple(games: DataFrame, seasons: DataFrame) -> DataFrame:
+def owp_simple(games: DataFrame) -> DataFrame:
     """Opponents' and their opponents' mean win share, a term for each game, head-to-head games included."""
     rows = team_games(games).select("season_id", "team_id", "opponent_id")
     mean = lambda value, name: F.round(F.avg(F.col(value).cast("decimal(10,4)")), 4).cast("double").alias(name)
-    share = seasons.select("season_id", F.col("team_id").alias("opponent_id"), "win_pct")
+    win_pct = ratio(F.col("wins"), F.col("wins") + F.col("losses") + F.col("ties"), 4)
+    share = team_record(games).select("season_id", F.col("team_id").alias("opponent_id"), win_pct.alias("win_pct"))
     owp = rows.join(share, ["season_id", "opponent_id"]).groupBy("season_id", "team_id").agg(mean("win_pct", "opp_win_pct"))
     theirs = owp.select("season_id", F.col("team_id").alias("opponent_id"), "opp_win_pct")
     oowp = rows.join(theirs, ["season_id", "opponent_id"]).groupBy("season_id", "team_id").agg(mean("opp_win_pct", "opp_opp_win_pct"))
@@ -164,7 +165,7 @@ def enrich(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "players": players.join(latest_by_player(seasons).withColumnRenamed("player_id", "id").drop("team_id"), "id", "left").join(career_span(seasons).withColumnRenamed("player_id", "id"), "id", "left"),
         "player_season_stats": player_season_stats(stats, players, seasons),
         "team_seasons": own,
-        "team_season_stats": season_stats.join(owp_simple(games, season_stats), ["season_id", "team_id"], "left"),
+        "team_season_stats": season_stats.join(owp_simple(games), ["season_id", "team_id"], "left"),
         "team_external_ids": teams.select(F.when(F.col("id").startswith("59"), "stats").otherwise("feed").alias("source"), F.col("id").alias("external_id"), F.col("id").alias("team_id")),
         "game_external_ids": games.filter("ncaa_game_id is not null and ncaa_game_id <> id").select(F.lit("feed").alias("source"), F.col("ncaa_game_id").alias("external_id"), F.col("id").alias("game_id")),
     }

@@ -178,7 +178,8 @@ def project_rpi(games: DataFrame, remaining: DataFrame, priors: DataFrame | None
     done = games.filter("status = 'final'").select(*by, F.lit(0).alias("kind"), "id", F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), (F.col("home_score") - F.col("away_score")).alias("m"))
     open_groups = left.select(*by).distinct()
     done = done.join(open_groups, by, "left_semi")
-    wide = done.groupBy(*by).agg(F.count("*").alias("rows")).filter(F.col("rows") * 2 * n_sims > most_cells).select(*by)
+    teams = done.select(*by, F.explode(F.array("h", "a")).alias("t")).groupBy(*by).agg(F.countDistinct("t").alias("teams"))
+    wide = teams.filter(F.col("teams") * n_sims > most_cells).select(*by)
     rows = done.unionByName(left).withColumn("mu0", F.lit(None).cast("double"))
     if priors is not None:
         none = F.lit(None).cast("string")
@@ -191,7 +192,7 @@ def project_rpi(games: DataFrame, remaining: DataFrame, priors: DataFrame | None
     return near(rows.join(wide, by, "left_anti")).unionByName(spread)
 
 
-def _simulator(by: list[str], n_sims: int, seed: int, step: int = 128):
+def _simulator(by: list[str], n_sims: int, seed: int):
     """The simulation of one group's rows: kind 0 final games with margin m, 1 remaining games, 2 prior means mu0 of h."""
     import numpy as np
     import pandas as pd
@@ -199,15 +200,15 @@ def _simulator(by: list[str], n_sims: int, seed: int, step: int = 128):
     drawn: dict = {}
 
     def draws(kind: str, group: str, name: str) -> np.ndarray:
-        """Numbers in (0, 1) of one name in all simulations, as `uniform` gives them; remembered for the current group key."""
+        """Numbers of one name in all simulations, as `normal` or `uniform` give them; remembered for the current group key."""
         from hashlib import md5
 
         if drawn.get("group") != group:
             drawn.clear()
             drawn["group"] = group
         if (kind, name) not in drawn:
-            texts = (f"{kind}|{i}|{name}|{seed}|{group}".encode() for i in range(n_sims))
-            drawn[kind, name] = (np.array([int(md5(t).hexdigest()[:12], 16) for t in texts], float) + 0.5) / float(1 << 48)
+            each = lambda k: (np.array([int(md5(f"{k}|{i}|{name}|{seed}|{group}".encode()).hexdigest()[:12], 16) for i in range(n_sims)], float) + 0.5) / float(1 << 48)
+            drawn[kind, name] = np.sqrt(-2 * np.log(each("r"))) * np.cos(2 * 3.141592653589793 * each("a")) if kind == "normal" else each(kind)
         return drawn[kind, name]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -229,11 +230,8 @@ def _simulator(by: list[str], n_sims: int, seed: int, step: int = 128):
         mu, spread = (mu0 + total / 16.0) / precision, np.sqrt(1 / precision)
         group = str(pdf[by[0]].iloc[0])
         lh, la = (left[c].map(at).to_numpy() for c in ("h", "a"))
-        strength = {}
-        for t in np.unique(np.concatenate([lh, la])).tolist():
-            z = np.sqrt(-2 * np.log(draws("r", group, names[t]))) * np.cos(2 * 3.141592653589793 * draws("a", group, names[t]))
-            strength[t] = mu[t] + spread[t] * z
-        home = np.stack([draws("g", group, i) < 1 / (1 + np.exp(-0.4 * (strength[x] - strength[y]))) for i, x, y in zip(left["id"], lh, la)])
+        strength = lambda x: mu[x] + spread[x] * draws("normal", group, names[x])
+        home = np.stack([draws("g", group, i) < 1 / (1 + np.exp(-0.4 * (strength(x) - strength(y)))) for i, x, y in zip(left["id"], lh, la)])
         # edges (team, opponent), sorted by team: actual games, wins and losses; then what each simulation adds
         t, o = np.concatenate([h, a, lh, la]), np.concatenate([a, h, la, lh])
         edge, where = np.unique(t * size + o, return_inverse=True)
@@ -247,6 +245,7 @@ def _simulator(by: list[str], n_sims: int, seed: int, step: int = 128):
         summed = lambda x: np.add.reduceat(x, starts, axis=0)
         games_of = summed(n)[:, None]
         out = np.empty((size, n_sims), np.int64)  # millionths
+        step = max(8, min(128, 2_000_000 // count))  # simulations at a time: bounds the vectors over edges
         for begin in range(0, n_sims, step):
             own = home[:, begin : begin + step].astype(float)
             w, l = (np.repeat(x[:, None], own.shape[1], axis=1) for x in (won, lost))  # noqa: E741

@@ -43,7 +43,7 @@ SELECT o.season_id, o.team_id, o.opp_win_pct, p.opp_opp_win_pct FROM o LEFT JOIN
 
 @query("a05_owp_simple", _OWP)
 def _(t):
-    return enrich.owp_simple(t.games, t.team_season_stats)
+    return enrich.owp_simple(t.games)
 
 
 @query("a06_career_span", "SELECT player_id, count(DISTINCT season_id) AS season_count, min(season_id) AS first_season, max(season_id) AS last_season FROM d_pseasons GROUP BY player_id")
