@@ -11,7 +11,8 @@ from fieldhouse.registry import query
 from fieldhouse.sources import documents
 from fieldhouse.storage import new_folder
 
-_even = F.col("id").cast("long") % 2 == 0
+def _even() -> F.Column:
+    return F.col("id").cast("long") % 2 == 0
 _ODD = "CAST(id AS BIGINT) % 2 = 1"
 #: Files that do not parse, and the date that a scoreboard gives, by game id.
 _BROKEN = "CAST(id AS BIGINT) % 10 = 3"
@@ -23,7 +24,7 @@ def _path(kind: str, source: F.Column) -> F.Column:
 
 
 def _source() -> F.Column:
-    return F.when(_even, "games").otherwise("ncaa")
+    return F.when(_even(), "games").otherwise("ncaa")
 
 
 def _json(**fields) -> F.Column:
@@ -40,7 +41,7 @@ def info_files(t) -> DataFrame:
     spelled = F.concat(F.date_format("game_date", "MMMM d"), F.lit("th "), F.year("game_date"))
     with_ids = _json(gameId=F.col("id"), ncaaGameId=F.col("ncaa_game_id"), homeTeamId=F.col("home_team_id"), awayTeamId=F.col("away_team_id"), homeScore=text("home_score"), awayScore=text("away_score"), attendance=F.lit(" 120 "), location=F.concat(F.lit(" Field "), F.col("home_team_id"), F.lit(" ")), gameDate=F.date_format("game_date", "MM/dd/yyyy"))
     names_only = _json(ncaaGameId=F.col("ncaa_game_id"), homeTeam=F.col("home_name"), awayTeam=F.concat(F.col("away_name"), F.lit(" ")), homeScore=text("home_score"), awayScore=text("away_score"), location=F.lit(""), gameDate=spelled)
-    whole = F.when(_even, with_ids).otherwise(names_only)
+    whole = F.when(_even(), with_ids).otherwise(names_only)
     body = F.when(F.expr(_BROKEN), F.substring(whole, 1, 12)).otherwise(whole)
     return _named(t).select(_path("info", _source()).alias("path"), body.alias("value"))
 
@@ -66,7 +67,7 @@ def stats_files(t) -> DataFrame:
     only = lambda x, c: F.collect_list(F.when(c, x))
     one = rows.groupBy(*keys).agg(F.collect_list(flat).alias("flat"), *[only(x, (goalie == g) & (F.col("home") == h)).alias(n) for n, x, g, h in (("hp", player, False, True), ("hg", keeper, True, True), ("ap", player, False, False), ("ag", keeper, True, False))])
     side = lambda p, g: F.struct(F.col(p).alias("players"), F.col(g).alias("goalies"))
-    body = F.when(_even, F.to_json("flat")).otherwise(_json(away=side("ap", "ag"), home=side("hp", "hg")))
+    body = F.when(_even(), F.to_json("flat")).otherwise(_json(away=side("ap", "ag"), home=side("hp", "hg")))
     return one.select(_path("player_stats", _source()).alias("path"), body.alias("value"))
 
 
