@@ -103,8 +103,10 @@ def contract(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     said = f"{END}{OPEN} ok {CLOSE}"
     extra = spark.sql(f"select cast(-1 as bigint) conv_id, turn, role, '{said}' text from values (cast(0 as bigint), 'user'), (cast(1 as bigint), 'assistant') as t(turn, role)")
-    rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
-    done = format_conversations(rows)
+    # formatted apart, so that rows of the table that bear the id -1 stay a conversation of their own
+    both = format_conversations(conversations.select("conv_id", "turn", "role", "text")).unionByName(format_conversations(extra))
+    lost = F.raise_error(F.concat(F.lit("the round trip changes conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    done = both.withColumn("turns", F.when(F.col("identical"), F.col("turns")).otherwise(lost))
     told = F.array_join(F.transform("turns", lambda r: F.concat(r["role"], F.lit("\n"), r["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_mask", lambda m: unescaped(F.substring(F.col("formatted"), m["start"] + 1, m["length"]))), "")
     return done.withColumn("loss", loss).select(

@@ -1,22 +1,24 @@
 """Sharding by fixed virtual slots, in DataFrame operations only.
 
 Records are hashed by doc_id into a fixed number of virtual slots; the bytes of each slot are aggregated; a versioned map
-says which shard each slot belongs to. The first version packs slots into shards, largest first, each to the lightest
-shard so far, so the shards' bytes are nearly equal. `rebalanced` edits a map for another number of shards: only slots
-that must move do, and the map gets the next version. The map has `slots` rows whatever the data's size, so that packing
+says which shard each slot belongs to, and its versions are stored side by side (`saved`, `stored`). The first version packs
+slots into shards, largest first, each to the lightest shard so far, so the shards' bytes are nearly equal. `rebalance`
+edits the newest version for another number of shards or for grown slots: only slots that must move do. The map has `slots` rows whatever the data's size, so that packing
 is a fold over one bounded array, and joining it is a small broadcast.
 
 A record's place in its shard (`slot` of the contract) is counted in two levels: a window inside each (virtual slot,
 part), where the number of parts grows with the table so that no window is large, plus the rows of the parts before it.
-A hot text does not matter, since doc_id is hashed; equal doc_ids share a virtual slot, and are ordered by size and
+A hot text does not matter, since doc_id is hashed; equal doc_ids share a virtual slot and are dealt to its parts by size and
 checksum. Null text has no bytes; null doc_id is hashed like a value. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldhouse.llm.util import new_folder, written
+
 SLOTS, SHARDS = 4096, 16
 #: Rows of one place-counting window, about.
 WINDOW_ROWS = 100_000
@@ -81,22 +83,48 @@ def rebalanced(old: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     return stays.select("virtual_slot", "shard").unionByName(moved).crossJoin(F.broadcast(version)).select("virtual_slot", "shard", F.col("next").alias("version"))
 
 
-def placed(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Each record with its virtual slot, shard, and place in the shard, gapless from 0."""
-    rows = records(docs, slots)
+def saved(mapped: DataFrame, path: str) -> DataFrame:
+    """Stores a version of the map under path, beside the older ones, and reads it back."""
+    spark = mapped.sparkSession
+    version = mapped.agg(F.max("version")).first()[0]
+    mapped.select("virtual_slot", "shard").write.parquet(f"{path}/version={version}")
+    return stored(spark, path, version)
+
+
+def stored(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map; the newest by default."""
+    every = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.filter(F.col("version") == version)
+
+
+def rebalance(rows: DataFrame, path: str, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Edits the newest stored map for these records and this number of shards, and stores the next version."""
+    return saved(rebalanced(stored(rows.sparkSession, path), slot_bytes(rows, slots), shards), path)
+
+
+def numbered(rows: DataFrame, mapped: DataFrame, slots: int = SLOTS, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Each of the records with its virtual slot, shard by the map, and place in the shard, gapless from 0."""
     loads = slot_bytes(rows, slots)
-    mapped = slot_map(loads, shards)
     # parts of a slot: as many as its rows ask for, so that a window stays near window_rows
     parts = loads.select("virtual_slot", F.greatest(F.ceil(F.col("rows") / window_rows), F.lit(1)).cast("int").alias("parts"))
     assigned = mapped.join(parts, "virtual_slot")
     rows = rows.join(F.broadcast(assigned), "virtual_slot")  # `slots` rows of four integers: bounded by the parameter
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "virtual_slot"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "virtual_slot", "size", "text_crc32"), F.col("parts")).cast("int"))
     counts = rows.groupBy("shard", "virtual_slot", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("virtual_slot", "part", before.alias("offset"))
     inside = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32"))
-    numbered = rows.withColumn("inside", inside)
-    return numbered.join(offsets, ["virtual_slot", "part"]).withColumn("slot", F.col("offset") + F.col("inside") - 1)
+    return rows.withColumn("inside", inside).join(offsets, ["virtual_slot", "part"]).withColumn("slot", F.col("offset") + F.col("inside") - 1)
+
+
+def placed(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """The documents' records by a new map, whose first version is stored. The four small columns of the records are stored
+    once, so that the texts are read once."""
+    rows = written(records(docs, slots), "records")
+    mapped = saved(slot_map(slot_bytes(rows, slots), shards), new_folder(docs.sparkSession, "slot-map"))
+    return numbered(rows, mapped, slots, window_rows)
 
 
 def contract(docs: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@
 with equal payloads of at least LEAST bytes the one with the smallest page_id is a response, the others are revisits that
 name it; smaller payloads are always responses. `write_archive` stores two tables: payloads (digest, bytes), each digest
 once, and headers (page_id, header, digest). Only page ids and digests are grouped, so a payload shared by a third of all
-pages is not a hot group, and each stored payload is moved once. `read_payloads` recomputes every digest and length from
-the stored bytes; `reconstruct` joins both tables into whole records; `parsed` reads headers with a few patterns.
+pages is not a hot group. `reconstruct` joins both tables into whole records; `parsed` reads headers with a few patterns;
+`read_archive` recomputes digest and length of every record's payload and fails where the digest is not the header's.
 
 Null html is an empty payload. Null urls give an empty target. Repeated page_ids with equal payloads: one of the rows is
 taken as first, all rows with that page_id are responses. Extra columns are ignored.
@@ -75,12 +75,6 @@ def _repeats(store: DataFrame) -> bool:
     return bool(store.groupBy("page_id", "digest").count().filter("count > 1").limit(1).count())
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """digest, verified digest and length of the stored bytes."""
-    stored = spark.read.parquet(f"{path}/payloads")
-    return stored.select("digest", F.sha2("payload", 256).alias("verified"), F.octet_length("payload").cast("long").alias("length"))
-
-
 def parsed(header: F.Column) -> dict[str, F.Column]:
     """The fields of a header block that readers need."""
     value = lambda name: F.nullif(F.regexp_extract(header, rf"\r\n{name}: ([^\r]*)", 1), F.lit(""))
@@ -95,20 +89,21 @@ def parsed(header: F.Column) -> dict[str, F.Column]:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """Whole original records: page_id, record (header, then the payload of responses, then the record's end) and payload."""
+    """Whole original records: page_id, header, record (header, then the payload of responses, then the record's end) and payload."""
     heads, stored = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
     full = heads.join(stored, "digest")
     body = F.when(parsed(F.col("header"))["record_type"] == "response", F.col("payload")).otherwise(F.lit(b""))
-    return full.select("page_id", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return full.select("page_id", "header", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Per record what its header and its stored, verified payload say."""
-    heads = spark.read.parquet(f"{path}/headers").select(*(c.alias(n) for n, c in parsed(F.col("header")).items()))
-    stored = read_payloads(spark, path)
-    return heads.join(stored.withColumnRenamed("digest", "payload_digest"), "payload_digest").select(
-        "page_id", F.col("length").alias("payload_bytes"), F.col("verified").alias("payload_digest"), "record_type", "refers_to"
-    )
+    """Per reconstructed record what its header says, and digest and length of its payload. A payload whose digest is not
+    the header's fails the job: the store is corrupt."""
+    rows = reconstruct(spark, path).select(*(c.alias(n) for n, c in parsed(F.col("header")).items()), "payload").withColumn("verified", F.sha2("payload", 256))
+    corrupt = F.raise_error(F.concat(F.lit("corrupt payload "), F.col("payload_digest")))
+    return rows.select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("verified") == F.col("payload_digest"), F.col("verified")).otherwise(corrupt).alias("payload_digest"), "record_type", "refers_to"
+    )
 
 
 def contract(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldhouse.llm import chat, sharding, url_filter, warc
@@ -48,6 +49,27 @@ def test_op1_rules_and_trees(spark):
     assert url_filter.judge(pages.filter("false"), labelled).count() == 0
 
 
+def test_op1_trees_of_no_use_block_nothing(spark):
+    """Labels that urls say nothing about: the threshold is beyond all probabilities. Useful ones: held-out figures are high."""
+    mixed = spark.createDataFrame([(f"http://a{i * 7919 % 1009}.org/p/{i}", int(i % 13 == 5)) for i in range(600)], "url string, label int")
+    trees = url_filter.Trees(mixed)
+    assert trees.figures.threshold > 1 and trees.figures.rows > 60
+    pages = mixed.select(F.col("url"), F.monotonically_increasing_id().alias("page_id"))
+    assert {r["verdict"] for r in url_filter.judge(pages, mixed, rules=[]).collect()} == {"allow"}
+    plain = spark.createDataFrame([(f"http://a{i}.org/p", 0) for i in range(200)] + [(f"http://b{i}.info/{i}/x?a={i}", 1) for i in range(100)], "url string, label int")
+    found = url_filter.Trees(plain).figures
+    assert found.precision > 0.95 and found.recall > 0.95
+    assert url_filter.chosen({9: (10, 8), 5: (10, 6), 1: (30, 3)}) == url_filter.Figures(50, 17, 5 / url_filter.BINS, 0.7, 14 / 17)
+
+
+def test_op1_labels_reach_all_forms_of_urls(spark):
+    urls = ["http://a/12.html", "http://a/x/12.htm?q", "http://a/12", "http://a/12#z", "http://a/12/", "http://a/12.pdf", "http://a/b", None, "http://a/99999999999999999999999.html", "http://a" + "/xy" * 20000 + "/12.html"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(12, 0, 1), (13, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = [r["url"] for r in url_filter.labelled_pages(pages, labels).collect()]
+    assert sorted(got) == sorted(urls[:5] + urls[-1:])
+
+
 def test_op2_near_equal_and_gapless(spark):
     rows = [(i, "x" * (i * 37 % 500)) for i in range(3000)] + [(5000, None), (5001, ""), (7, "é"), (None, "é"), (None, None), (5002, "long " * 2000)]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, shard int, size int")
@@ -84,6 +106,43 @@ def test_op2_rebalancing_moves_little(spark):
         assert max(load.values()) <= 1.1 * sum(size.values()) / shards
 
 
+def test_op2_map_versions_are_stored_and_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = sharding.records(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")), 128)
+    first = {r["virtual_slot"]: r["shard"] for r in sharding.saved(sharding.slot_map(sharding.slot_bytes(rows, 128), 4), path).collect()}
+    second = {r["virtual_slot"]: r["shard"] for r in sharding.rebalance(rows, path, 5, 128).collect()}
+    third = {r["virtual_slot"]: r["shard"] for r in sharding.rebalance(rows, path, 5, 128).collect()}
+    versions = {r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()}
+    assert versions == {1, 2, 3} and len(first) == len(second) == len(third) == 128 and set(second.values()) == set(range(5))
+    assert sum(first[k] == second[k] for k in first) >= 90 and sum(second[k] == third[k] for k in second) >= 120
+    assert {r["virtual_slot"]: r["shard"] for r in sharding.stored(spark, path, 1).collect()} == first
+    placed = sharding.numbered(rows, sharding.stored(spark, path), 128).collect()
+    assert len(placed) == 3000 and all(r["shard"] == third[r["virtual_slot"]] and r["version"] == 3 for r in placed)
+
+
+def test_op2_many_equal_ids_are_dealt_out(spark):
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    out = sharding.placed(docs, window_rows=100).collect()
+    assert len({r["part"] for r in out}) == 20 and sorted(r["slot"] for r in out) == list(range(2000))
+
+
+def test_op3_corrupt_store_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 200), (None, "u", "a" * 200)], "page_id long, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_archive(pages, path)
+    assert sorted((r["page_id"] or 0, r["record_type"]) for r in warc.read_archive(spark, path).collect()) == [(0, "revisit"), (1, "response"), (2, "response")]
+    stored = [tuple(r) for r in spark.read.parquet(path + "/payloads").collect()]
+    spark.createDataFrame([(d, b.replace(b"b", b"c")) for d, b in stored], "digest string, payload binary").write.mode("overwrite").parquet(path + "/payloads")
+    with pytest.raises(Exception, match="corrupt payload"):
+        warc.read_archive(spark, path).collect()
+
+
+def test_op8_own_conversation_stays_apart(spark):
+    table = spark.createDataFrame([(-1, 0, "user", "x"), (3, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in chat.contract(table).collect())
+    assert got == [(-1, 1, 0), (-1, 2, 21), (3, 1, 0)]
+
+
 def test_op3_archive(spark, tmp_path):
     long, other = "é" * 60, "<p>" + "z" * 300
     rows = [(5, "http://a", long), (3, "http://b\r\nX: y", long), (9, None, long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (8, "u", other), (7, "u", other)]
