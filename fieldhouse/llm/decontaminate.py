@@ -2,7 +2,7 @@
 
 Words are maximal runs of letters and digits of ASCII and of all bytes above it, after A-Z are lower-cased. An item's
 windows are its runs of N words, or all its words if it has fewer. The windows go to the executors as sorted 64-bit
-hashes with their word codes, and each hash hit is verified word by word. What is broadcast is bounded: the benchmark is
+hashes with the items' word codes, and each hash hit is verified word by word. What is broadcast is bounded: the benchmark is
 split into blocks of at most `block_bytes` of text, and each block is a scan of its own whose hits are merged by row, so
 a benchmark of any size works (one block, no shuffle, in the usual case). With more blocks the ids and texts are written
 once with a number for each row, and only numbers, counts and hits are shuffled.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fieldhouse.llm.util import WordCodes, byte_values, chunks, ids_and_texts, small_batches, written
 
 N = 10
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 FOUND = "doc_id long, n_words long, hits array<struct<start:int,end:int>>, item_ids array<long>"
 
 
@@ -42,25 +42,27 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowIndex:
-    """The windows of some benchmark items, by length."""
+    """The windows of some benchmark items, by length: sorted 64-bit hashes, and for each the place of its words' codes. A word
+    of an item takes about 40 bytes, so a block of items takes some three times the bytes of its text."""
 
     def __init__(self, items: list[tuple[int, str | None]], n: int = N):
         codes = WordCodes(1 << 60)
-        found: dict[tuple[bytes, ...], set[int]] = {}
-        for item_id, text in items:
-            words = words_of((text or "").encode())
-            if words:
-                size = min(n, len(words))
-                for i in range(len(words) - size + 1):
-                    found.setdefault(tuple(words[i : i + size]), set()).add(item_id)
-        self.code = {w: codes[w] for window in found for w in window}
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]] = {}
-        for size in sorted({len(w) for w in found}):
-            windows = [w for w in found if len(w) == size]
-            matrix = np.array([[self.code[w] for w in window] for window in windows], np.uint64)
-            hashes = _hashed(matrix.reshape(-1), np.arange(len(windows)) * size, size)
+        lists = [words_of((text or "").encode()) for _, text in items]
+        sizes = np.array([len(w) for w in lists], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.words = np.fromiter((codes[w] for words in lists for w in words), np.uint64, int(sizes.sum()))
+        self.code = dict(codes)
+        self.ids = [i for i, _ in items]
+        #: length -> hashes, places of the windows in words, their items' numbers
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(sizes[sizes > 0], n)).tolist():
+            own = np.flatnonzero(np.minimum(sizes, n) == size)
+            count = sizes[own] - size + 1
+            item = np.repeat(own, count)
+            at = np.repeat(starts[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            hashes = _hashed(self.words, at, size)
             order = np.argsort(hashes, kind="stable")
-            self.by_length[size] = hashes[order], matrix[order], [sorted(found[windows[i]], key=_place) for i in order]
+            self.by_length[size] = hashes[order], at[order], item[order].astype(np.int32)
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
         """For each text: its number of words, the word ranges hit (merged), and the items hit."""
@@ -74,22 +76,22 @@ class WindowIndex:
         unknown = np.concatenate([[0], np.cumsum(codes == 0)])
         edges = np.zeros(len(codes) + 1, np.int64)
         items: dict[int, set[int]] = {}
-        for size, (hashes, matrix, owners) in self.by_length.items():
+        for size, (hashes, place, owner) in self.by_length.items():
             if len(codes) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
             key = _hashed(codes, at, size)
             left, right = np.searchsorted(hashes, key, "left"), np.searchsorted(hashes, key, "right")
             step = 0
-            while (more := left + step < right).any():  # windows of equal hash, in practice one
+            while (more := left + step < right).any():  # windows of equal hash: in practice those that several items share
                 at_, row = at[more], left[more] + step
-                same = (codes[at_[:, None] + np.arange(size)] == matrix[row]).all(axis=1)
+                same = (codes[at_[:, None] + np.arange(size)] == self.words[place[row][:, None] + np.arange(size)]).all(axis=1)
                 at_, row = at_[same], row[same]
                 np.add.at(edges, at_, 1)
                 np.add.at(edges, at_ + size, -1)
                 doc = np.searchsorted(starts, at_, "right") - 1
-                for d, r in set(zip(doc.tolist(), row.tolist())):
-                    items.setdefault(d, set()).update(owners[r])
+                for d, k in np.unique(np.stack([doc, owner[row]], axis=1), axis=0).tolist():
+                    items.setdefault(d, set()).add(self.ids[k])
                 step += 1
         hit = np.cumsum(edges) > 0
         turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
@@ -133,7 +135,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
         return source.mapInArrow(_scan(_index(blocks[0], n), True), FOUND)
     numbered = written(source.withColumn("row", F.monotonically_increasing_id()), "scanned")
     parts = [numbered.mapInArrow(_scan(_index(block, n), k == 0), f"{FOUND}, row long") for k, block in enumerate(blocks)]
-    return _merged(parts)
+    return _merged(parts).drop("row")
 
 
 def _scan(index, every: bool):
@@ -178,33 +180,52 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     found = every.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), merged.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
     )
-    return found.drop("row")
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contaminated documents (mode "document") or without the hit words (mode "span"); same columns.
 
-    In span mode the text from a hit range's first word to its last is cut out, block after block."""
+    In span mode the text from a hit range's first word to its last is cut out. Hits are judged on the texts as they came,
+    whatever the number of blocks: with several, numbered documents are stored, and all blocks' ranges meet them by number."""
     small_batches(docs.sparkSession)
-    schema = docs.schema
+    schema, blocks = docs.schema, _blocks(benchmark, block_bytes)
     at = schema.fieldNames().index("text")
-    out = docs
-    for block in _blocks(benchmark, block_bytes):
-        index = _index(block, n)
-
-        def clean(batches, index=index):
-            for batch in batches:
-                texts = byte_values(batch.column(at))
-                found = [x for part in chunks(texts) for x in index.value.scan(texts[part])]
-                if mode == "document":
-                    yield batch.filter(pa.array([not spans for _, spans, _ in found], pa.bool_()))
-                else:
-                    old = batch.column(at)
-                    new = [cut(t, spans).decode() if spans else v.as_py() for t, v, (_, spans, _) in zip(texts, old, found)]
-                    yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
-
-        out = out.mapInArrow(clean, schema)
-    return out
+
+    def shortened(batch: pa.RecordBatch, texts: list[bytes], spans: list) -> pa.RecordBatch:
+        old = batch.column(at)
+        new = [cut(t, s).decode() if s else v.as_py() for t, v, s in zip(texts, old, spans)]
+        return pa.RecordBatch.from_arrays([pa.array(new, old.type) if i == at else batch.column(i) for i in range(len(schema))], names=[f"c{i}" for i in range(len(schema))])
+
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(schema))])
+    if mode == "document" or len(blocks) == 1:
+        out = renamed
+        for block in blocks:
+            index = _index(block, n)
+
+            def clean(batches, index=index):
+                for batch in batches:
+                    texts = byte_values(batch.column(at))
+                    found = [x for part in chunks(texts) for x in index.value.scan(texts[part])]
+                    if mode == "document":
+                        yield batch.filter(pa.array([not spans for _, spans, _ in found], pa.bool_()))
+                    else:
+                        yield shortened(batch, texts, [spans for _, spans, _ in found])
+
+            out = out.mapInArrow(clean, renamed.schema)
+        return out.toDF(*schema.fieldNames())
+
+    numbered = written(renamed.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    source = numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"c{at}").cast("string").alias("text"), "row")
+    parts = [source.mapInArrow(_scan(_index(block, n), False), f"{FOUND}, row long") for block in blocks]
+    joined = numbered.join(_merged(parts).select("row", "hits"), "row", "left").select(*renamed.columns, "hits")
+
+    def cut_out(batches):
+        for batch in batches:
+            spans = [[(h["start"], h["end"]) for h in x] if x else [] for x in batch.column(len(schema)).to_pylist()]
+            yield shortened(batch, byte_values(batch.column(at)), spans)
+
+    return joined.mapInArrow(cut_out, renamed.schema).toDF(*schema.fieldNames())
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
