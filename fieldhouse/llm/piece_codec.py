@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldhouse.llm.util import byte_values, ids_and_texts
+from fieldhouse.llm.util import byte_values, chunks, ids_and_texts
 
 SPACE = "▁"
 MARK = SPACE.encode()
@@ -34,7 +34,7 @@ NONE = float("-inf")
 SHORT = 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts remembered per worker; forgetting costs time only.
-MOST_PARTS = 150_000
+MOST_PARTS = 200_000
 
 
 def _fields(data: bytes):
@@ -125,21 +125,27 @@ class PieceCodec:
         self.end_id = trainer.get(42, 2)
         self.unknown_id = trainer.get(40, 0)
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
-        usable = {p.decode(): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER, UNUSED)}
+        if USER in self.kinds or UNUSED in self.kinds:
+            raise ValueError("models with user-defined or unused pieces are not supported: these do not merge by score")
+        usable = {p.decode(): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         if any(SPACE in p.lstrip(SPACE) for p in usable):
             raise ValueError("a piece crosses a space mark")
         self.text_ids, self.score = usable, {p: scores[i] for p, i in usable.items()}
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        #: first symbol -> second symbol -> score of what they make
+        self.pairs: dict[str, dict[str, float]] = {}
+        for p, score in self.score.items():
+            for k in range(1, len(p)):
+                self.pairs.setdefault(p[:k], {})[p[k:]] = score
         #: id -> what it adds to the decoded bytes
         self.surface = [
             bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, b" ")
             for p, k in zip(self.pieces, self.kinds)
         ]
         self.widths = np.array([1 if k == BYTE else len(p) for p, k in zip(self.pieces, self.kinds)], np.int64)
-        #: the same as lists: with marks, and with marks as spaces
-        self.part_widths = self.widths.tolist(), [1 if k == BYTE else len(p.replace(MARK, b" ")) for p, k in zip(self.pieces, self.kinds)]
-        #: part -> number of ids, ids in decimal, decoded bytes, widths of the pieces in escaped bytes and in bytes with the
-        #: marks as spaces, as the bytes of int32 arrays
-        self.parts: dict[bytes, tuple[int, bytes, bytes, bytes, bytes]] = {}
+        #: what is remembered of parts: of escaped ones with widths in escaped bytes, of plain ones in bytes
+        self.escaped = _Parts(self, self.widths.tolist(), lambda part: part)
+        self.plain = _Parts(self, [1 if k == BYTE else len(p.replace(MARK, b" ")) for p, k in zip(self.pieces, self.kinds)], lambda part: part.replace(b" ", MARK))
 
     def normalised(self, text: bytes) -> tuple[bytes, np.ndarray | None]:
         """The text as the encoder sees it, space marks included, and its alignment to the source (None: spaces only)."""
@@ -175,8 +181,8 @@ class PieceCodec:
 
     def _merged_short(self, text: str) -> list[str]:
         """The scores of all adjacent pairs are kept in a list: quickest for a few symbols."""
-        symbols, get = list(text), self.score.get
-        scores = [get(a + b, NONE) for a, b in zip(text, text[1:])]
+        symbols, pairs = list(text), self.pairs
+        scores = [pairs[a].get(b, NONE) if a in pairs else NONE for a, b in zip(text, text[1:])]
         while scores:
             best = max(scores)
             if best == NONE:
@@ -185,9 +191,11 @@ class PieceCodec:
             joined = symbols[i] = symbols[i] + symbols.pop(i + 1)
             del scores[i]
             if i:
-                scores[i - 1] = get(symbols[i - 1] + joined, NONE)
+                before = pairs.get(symbols[i - 1])
+                scores[i - 1] = before.get(joined, NONE) if before else NONE
             if i < len(scores):
-                scores[i] = get(joined + symbols[i + 1], NONE)
+                after = pairs.get(joined)
+                scores[i] = after.get(symbols[i + 1], NONE) if after else NONE
         return symbols
 
     def _merged_long(self, text: str) -> list[str]:
@@ -252,37 +260,50 @@ class PieceCodec:
 
         If the alignment is the identity, all marks are escaped spaces and a mark is a piece (not three bytes), spans come
         from the remembered widths alone."""
-        n, digits, surfaces, widths, known = 1, [], [], [], self.parts
         normal, source = self.normalised(text)
-        direct = 4 if self.escape and source is None and SPACE in self.text_ids and MARK not in normal else 3
-        for part in self.cut(normal):
-            found = known.get(part)
-            if found is None:
-                if len(known) >= MOST_PARTS:
-                    known.clear()
-                found = known[part] = self._part(part)
-            n += found[0]
-            digits.append(found[1])
-            surfaces.append(found[2])
-            widths.append(found[direct])
-        digits.append(str(self.end_id).encode())
+        direct = self.escape and source is None and SPACE in self.text_ids and MARK not in normal
+        if direct:  # cut before escaping: the same parts
+            found = list(map(self.plain.__getitem__, _WORDS.findall(normal)))
+        else:
+            found = list(map(self.escaped.__getitem__, self.cut(normal)))
+        counts, digits, surfaces, widths = zip(*found) if found else ((), (), (), ())
+        n = 1 + sum(counts)
         sizes = np.zeros(n, np.int64)  # the end id has no width
         sizes[:-1] = np.frombuffer(b"".join(widths), np.int32)
-        if direct == 4:
+        if direct:
             edges = np.zeros(n + 1, np.int64)
             np.cumsum(sizes, out=edges[1:])
             edges = np.maximum(edges - int(self.prefix and len(normal) > 0), 0)
             spans = np.stack([edges[:-1], edges[1:]], axis=1)
         else:
             spans = self._projected(normal, source, sizes)
-        return n, b" ".join(digits), self._finished(b"".join(surfaces)), spans
+        return n, b" ".join([*digits, str(self.end_id).encode()]), self._finished(b"".join(surfaces)), spans
+
+
+class _Parts(dict):
+    """part -> number of ids, ids in decimal, decoded bytes, widths of the pieces as the bytes of an int32 array; worked out
+    on first use. When it holds MOST_PARTS it starts anew and keeps the last generation for lookups, so that frequent parts
+    stay: forgetting costs time only."""
+
+    def __init__(self, own: PieceCodec, widths: list[int], escaped):
+        super().__init__()
+        self.own, self.widths, self.escape, self.last = own, widths, escaped, {}
 
-    def _part(self, part: bytes) -> tuple[int, bytes, bytes, bytes, bytes]:
-        ids = self.merge(part)
-        escaped, plain = (array("i", [of[i] for i in ids]).tobytes() for of in self.part_widths)
-        return len(ids), " ".join(map(str, ids)).encode(), b"".join([self.surface[i] for i in ids]), escaped, plain
+    def __missing__(self, part: bytes) -> tuple[int, bytes, bytes, bytes]:
+        if len(self) >= MOST_PARTS:
+            self.last = dict(self)
+            self.clear()
+        found = self.last.get(part)
+        if found is None:
+            ids = self.own.merge(self.escape(part))
+            surface = b"".join([self.own.surface[i] for i in ids])
+            found = len(ids), " ".join([self.own.decimal[i] for i in ids]).encode(), surface, array("i", [self.widths[i] for i in ids]).tobytes()
+        self[part] = found
+        return found
 
 
+#: Parts of a text whose spaces are not escaped yet.
+_WORDS = re.compile(rb" +[^ ]*|[^ ]+")
 _PARTS = re.compile(b"(?:" + MARK + b")+(?:(?!" + MARK + b").)*|(?:(?!" + MARK + b").)+", re.S)
 
 _codecs: dict[str, PieceCodec] = {}
@@ -306,10 +327,12 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches):
         own = codec(model_file)
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
-                ids = own.encode(text)
-                spans = [{"start": int(a), "end": int(b)} for a, b in own.spans(text, ids)]
-                yield pa.RecordBatch.from_pylist([{"doc_id": i, "ids": ids, "spans": spans, "decoded": own.decode(ids).decode()}], schema=schema)
+            texts = byte_values(batch.column(1))
+            for part in chunks(texts):
+                ids = [own.encode(t) for t in texts[part]]
+                spans = [[{"start": a, "end": b} for a, b in own.spans(t, i).tolist()] for t, i in zip(texts[part], ids)]
+                columns = [batch.column(0)[part.start : part.stop], ids, spans, [own.decode(i).decode() for i in ids]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return ids_and_texts(docs).mapInArrow(run, ENCODED)
 

@@ -5,6 +5,7 @@ import re
 import struct
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
 from fieldhouse.llm import decontaminate, piece_codec
@@ -86,6 +87,24 @@ def test_character_map_takes_longest_prefix():
     assert new == b"zyyxq" and source.tolist() == [0, 4, 4, 6, 7, 8]
 
 
+@pytest.mark.parametrize("rules", ["nfkc", "nmt_nfkc_cf"])
+def test_compiled_character_maps_equal_library(rules):
+    """The compiled maps of the library's own normalisers, parsed and applied, on texts of all kinds of characters."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    theirs = sentencepiece.SentencePieceNormalizer(rule_name=rules, add_dummy_prefix=False, remove_extra_whitespaces=False, escape_whitespaces=False)
+    spec = dict(piece_codec._fields(dict(piece_codec._fields(theirs.serialized_model_proto()))[3]))
+    own = piece_codec.CharacterMap(spec[2])
+    assert len(own.rules) > 4000
+    pick = random.Random(9)
+    pools = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0xAC00, 0xD7A0), (0x1100, 0x1200), (0x3300, 0x3400), (0xFB00, 0xFFF0), (0x1F600, 0x1F650), (0x2000, 0x2100)]
+    for _ in range(300):
+        text = "".join(chr(pick.randrange(*pick.choice(pools))) for _ in range(pick.randrange(1, 40)))
+        new, source = own(text.encode())
+        assert new.decode() == theirs.normalize(text), text
+        if source is not None:  # the alignment runs over the whole text, and never back
+            assert len(source) == len(new) + 1 and source[-1] == len(text.encode()) and (source[1:] >= source[:-1]).all()
+
+
 def test_codec_empty_table(spark):
     from fieldhouse.llm.queries import model_file
 
@@ -128,7 +147,9 @@ def test_op10_equals_brute_force(spark, block_bytes):
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows} == want
     kept = decontaminate.decontaminate(d, b, block_bytes=block_bytes)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {k for k, v in want.items() if not v[4]}
+    whole = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(d, b, "span").collect()}
     cleaned = decontaminate.decontaminate(d, b, "span", block_bytes=block_bytes)
+    assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == whole and cleaned.schema == d.schema
     clean = {k for k, v in want.items() if not v[4]}
     old = dict(docs)
     for r in cleaned.collect():
@@ -161,6 +182,13 @@ def test_op10_items_without_id_are_hits(spark, block_bytes):
     assert [r["doc_id"] for r in decontaminate.decontaminate(d, b, block_bytes=block_bytes).collect()] == [3]
 
 
+def test_op10_window_hashes_that_clash_are_verified(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_hashed", lambda codes, at, size: np.zeros(len(at), np.uint64))
+    index = decontaminate.WindowIndex([(1, "a b c"), (2, "d e"), (3, "a b c"), (4, " ".join("abcdefghijkl"))])
+    got = list(index.scan([b"x a b c d e", b"", b"a b", b"b c d e f g h i j k l"]))
+    assert got == [(6, [(1, 6)], [1, 2, 3]), (0, [], []), (2, [], []), (11, [(0, 11)], [2, 4])]
+
+
 def test_op10_empty_tables(spark):
     d = spark.createDataFrame([], DOCS)
     b = spark.createDataFrame([], "item_id long, text string")
