@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldhouse.llm.components import components
-from fieldhouse.llm.util import WordCodes, byte_values, mixed, small_batches, written
+from fieldhouse.llm.util import WordCodes, byte_values, mixed, small_batches, trimmed, written
 
 SIZE, TREES, SMALL, DEEPEST = 64, 16, 3000, 3
 #: Picks of a node below the root, compared to the root's; guests in each block of a large node; pairs for a member beyond
@@ -106,7 +106,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
             arrays = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(_key().alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k long, n long, d1 long, d2 long, tokens binary")
+    return docs.select(_key().alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "k long, n long, d1 long, d2 long, tokens binary")
 
 
 NODE = "node long, k long, n int, s1 long, s2 long"
@@ -138,7 +138,7 @@ def _branched(rows: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
                 columns = (child.view(np.int64), k[row], n[row], sketch[row, 0].view(np.int64), sketch[row, 1].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "k", "n", "s1", "s2"])
 
-    return rows.mapInArrow(run, NODE)
+    return rows.mapInArrow(trimmed(run), NODE)
 
 
 def _different(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,7 +246,7 @@ def _compared(rows: DataFrame, threshold: float, sparse: int, last: bool) -> Dat
                 if dense:
                     yield out([DENSE], node[start : start + 1], np.zeros(1, np.int64), np.zeros(1, np.int64))
 
-    return rows.repartition("node", "block").sortWithinPartitions("node", "block", "home", "k").mapInArrow(run, COMPARED)
+    return rows.repartition("node", "block").sortWithinPartitions("node", "block", "home", "k").mapInArrow(trimmed(run), COMPARED)
 
 
 def _blocks(members: DataFrame, large: DataFrame | None) -> DataFrame:
@@ -353,7 +353,7 @@ def _bridges(rows: DataFrame, threshold: float) -> DataFrame:
                 settled()
             yield done()
 
-    return rows.repartition("node", "block").sortWithinPartitions("node", "block", "guest", "c").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("node", "block").sortWithinPartitions("node", "block", "guest", "c").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 _FULL = (1 << 64) - 1
@@ -385,7 +385,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, n
             keep = np.array(good, bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])], names=["a", "b"])
 
-    return written(both.mapInArrow(run, "a long, b long"), f"{name}-links")
+    return written(both.mapInArrow(trimmed(run), "a long, b long"), f"{name}-links")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -398,7 +398,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             own = [shingles(t, width, codes).tobytes() for t in byte_values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["k", "own"])
 
-    return wanted.mapInArrow(run, "k long, own binary")
+    return wanted.mapInArrow(trimmed(run), "k long, own binary")
 
 
 def _dense_links(rows: DataFrame, docs: DataFrame, found: DataFrame, width: int, threshold: float, small: int) -> DataFrame | None:

@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldhouse.llm.substrings import LENGTH, Segmenter, repeated_starts
-from fieldhouse.llm.util import byte_values, chunks, mixed, small_batches, written
+from fieldhouse.llm.util import byte_values, chunks, mixed, small_batches, trimmed, written
 
 #: Bytes of open runs that are suffix-sorted together; different runs of an anchor up to which they are.
-BLOCK_BYTES, MOST_RUNS = 1_500_000, 5_000
+BLOCK_BYTES, MOST_RUNS = 800_000, 5_000
 REPEAT, OPEN, CROWDED = 0, 1, 2
 _NONE = -(1 << 63)
 _i64 = lambda x: np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
@@ -74,7 +74,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 columns = _first_of_batch(*(np.concatenate(x) for x in zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(_i64(x)) for x in columns[:4]] + [pa.array(columns[4])], names=["h", "s", "k", "place", "settled"])
 
-    return docs.mapInArrow(run, RUNS)
+    return docs.mapInArrow(trimmed(run), RUNS)
 
 
 def _judged(runs: DataFrame, most_runs: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _opened(joined: DataFrame, text_at: int, length: int) -> DataFrame:
                 arrays = [pa.array(_i64(x)) for x in (columns[0], columns[1], columns[2], marked)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(marked), pa.binary())], schema=schema)
 
-    return joined.mapInArrow(run, OPENED)
+    return joined.mapInArrow(trimmed(run), OPENED)
 
 
 def _strings(cut: Segmenter, crowded: list, length: int) -> tuple[np.ndarray, ...]:
@@ -211,7 +211,7 @@ def _resolved(opened: DataFrame, length: int, block_bytes: int) -> DataFrame:
         if waiting:
             yield out(*flush(waiting))
 
-    return ordered.mapInArrow(run, "k long, place long")
+    return ordered.mapInArrow(trimmed(run), "k long, place long")
 
 
 def _told_apart(texts: DataFrame, text: str) -> DataFrame:
@@ -283,7 +283,7 @@ def contract(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS,
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _cuts(own, ["doc_id", "text"], length, most_runs, block_bytes).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _cuts(own, ["doc_id", "text"], length, most_runs, block_bytes).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -305,7 +305,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RU
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
     renamed = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
-    return _cuts(docs, names, length, most_runs, block_bytes).mapInArrow(run, renamed).toDF(*names)
+    return _cuts(docs, names, length, most_runs, block_bytes).mapInArrow(trimmed(run), renamed).toDF(*names)
 
 
 ORACLE_SQL = """

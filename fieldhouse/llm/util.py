@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldhouse.storage import new_folder, removed, shared_dir, written  # noqa: F401
 
 #: Bytes of text that one vectorised step in a Python worker handles at a time.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 #: Rows with texts in one Arrow batch.
 BATCH_ROWS = 2000
 
@@ -28,6 +28,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def trimmed(run: Callable) -> Callable:
+    """run (for mapInArrow), after whose last batch a task's freed memory goes back to the system: a worker process lives on,
+    and would keep the peak of each task beside the next one's."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """Only the two columns that document operators read; other columns, whatever their names, are pruned."""
     small_batches(docs.sparkSession)
