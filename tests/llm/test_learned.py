@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fieldhouse.llm import language_id, quality
@@ -59,6 +60,36 @@ def test_op4_rejects_planted_outliers_and_keeps_clean(spark):
     assert kept == set(range(400))
 
 
+def test_op4_finds_the_least_determinant(spark):
+    """The estimates against a search of all subsets of small groups; the shape of each group's cloud is different."""
+    from itertools import combinations
+
+    draw = np.random.default_rng(12)
+    rows = []
+    for g in range(4):
+        for i in range(16):
+            n = int(np.exp(draw.normal(5.5, 0.5 + 0.2 * g))) + 20
+            far = i >= 12
+            rows.append((g * 100 + i, "en", f"s{g}", n, int(n * np.exp(draw.normal(1.5 + far * 0.9, 0.1 + 0.1 * g))), int(n * draw.uniform(0, 0.1 + 0.6 * far)), int(n * draw.uniform(0, 0.2)), int(n * draw.uniform(0, 0.28))))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    found = {r["grp"]: r["det"] for r in quality.estimates(stats, min_rows=10).collect()}
+    points = {r["source"]: [] for r in stats.collect()}
+    for r in stats.select("source", F.array(*quality.vector()).alias("x")).collect():
+        points[r["source"]].append(r["x"])
+    assert len(found) == 4
+    for source, x in points.items():
+        x = np.array(x)
+        least = min(np.linalg.det(np.cov(x[list(own)].T, bias=True)) for own in combinations(range(16), 12))
+        assert least * (1 - 1e-6) <= found["en\x1f" + source] <= 2 * least, source
+
+
+def test_op4_small_groups_take_their_language(spark):
+    rows = [(i, lang, f"s{i % 9}", 100 + i % 7, 500 + i % 31, i % 3, i % 2, i % 5) for lang, count in (("en", 90), ("fr", 5), ("de", 60)) for i in range(count)]
+    stats = spark.createDataFrame(rows + [(500 + i, "en", "big", 90 + i % 11, 480 + i, i % 4, 0, 0) for i in range(50)], "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    got = {r["own"]: r["grp"] for r in quality.estimates(stats, min_rows=40).filter("det is not null").collect()}
+    assert got["en\x1fbig"] == "en\x1fbig" and got["en\x1fs3"] == "\x1elang\x1fen" and got["de\x1fs1"] == "\x1elang\x1fde" and got["fr\x1fs0"] == "\x1eall"
+
+
 def test_op9_held_out_accuracy(spark):
     pick = random.Random(2)
     parts = {"aa": ["the", "ing", "wh", "ou"], "bb": ["sch", "ung", "ei", "ü"], "cc": ["eau", "oi", "é", "qu"]}
@@ -67,7 +98,7 @@ def test_op9_held_out_accuracy(spark):
     for i in range(400):
         k = pick.choice(list(parts))
         rows.append((i, text(k), k, "s", 0, "x"))
-    odd = [(1000, None, "aa", "s", 0, "x"), (1001, "", None, "s", 0, "x"), (1002, "123 !?_", "bb", "s", 0, "x"), (1003, "sch " * 30000, None, "s", 0, "x"), (None, "eau oi", None, None, 0, "x")]
+    odd = [(1000, None, "aa", "s", 0, "x"), (1001, "", None, "s", 0, "x"), (1002, "123 !?_ ½ ² ②", "bb", "s", 0, "x"), (1003, "sch " * 30000, None, "s", 0, "x"), (None, "eau oi", None, None, 0, "x")]
     docs = spark.createDataFrame(rows + odd, DOCS)
     out = language_id.contract(docs)
     got = {r["doc_id"]: r for r in out.collect()}
@@ -80,3 +111,13 @@ def test_op9_held_out_accuracy(spark):
     none = language_id.contract(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
     assert language_id.contract(docs.filter("false")).count() == 0
+
+
+def test_op9_learns_rare_languages(spark):
+    pick = random.Random(7)
+    rows = [(i, " ".join(pick.choice(["the", "and", "ing"]) for _ in range(12)), "aa") for i in range(3000)] + [(5000 + i, " ".join(pick.choice(["zhu", "qx", "vw"]) for _ in range(12)), "zz") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, most_rows=200, least_rows=30)
+    assert model.languages == ["aa", "zz"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) > 0.99 * len(rows) and sum(got[5000 + i] == "zz" for i in range(30)) >= 29
