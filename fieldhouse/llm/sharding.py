@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots, in DataFrame operations only.
 
-Records are hashed by doc_id into a fixed number of virtual slots; the bytes of each slot are aggregated; a versioned map
+Records are hashed by doc_id, size, checksum and the number of the copy among equal records into a fixed number of virtual
+slots, so neither null or repeated ids nor a document with a million copies fill one slot; the bytes of each slot are aggregated; a versioned map
 says which shard each slot belongs to, and its versions are stored side by side (`saved`, `stored`). The first version packs
 slots into shards, largest first, each to the lightest shard so far, so the shards' bytes are nearly equal. `rebalance`
 edits the newest version for another number of shards or for grown slots: only slots that must move do. The map has `slots` rows whatever the data's size, so that packing
@@ -8,8 +9,8 @@ is a fold over one bounded array, and joining it is a small broadcast.
 
 A record's place in its shard (`slot` of the contract) is counted in two levels: a window inside each (virtual slot,
 part), where the number of parts grows with the table so that no window is large, plus the rows of the parts before it.
-A hot text does not matter, since doc_id is hashed; equal doc_ids share a virtual slot and are dealt to its parts by size and
-checksum. Null text has no bytes; null doc_id is hashed like a value. Extra columns are ignored.
+Equal records (doc_id, size and checksum) are counted where they are read and numbered by spelling that count out again, in
+steps of COPIES. Null text has no bytes; null doc_id is hashed like a value. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,21 +23,24 @@ from fieldhouse.llm.util import new_folder, written
 SLOTS, SHARDS = 4096, 16
 #: Rows of one place-counting window, about.
 WINDOW_ROWS = 100_000
+#: Equal records that are spelled out from one row at a time.
+COPIES = 10_000
 
 
-def virtual_slot(key: F.Column, slots: int = SLOTS) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def virtual_slot(*key: F.Column, slots: int = SLOTS) -> F.Column:
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of each record; the texts go no further."""
+    """doc_id, size, text_crc32, copy (its number among equal records) and virtual slot of each record; the texts go no
+    further."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        virtual_slot(F.col("doc_id").cast("long"), slots).alias("virtual_slot"),
-    )
+    equal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")).groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    steps = equal.withColumn("step", F.explode(upto(F.ceil(F.col("n") / COPIES))))
+    own = F.transform(upto(F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("step") * COPIES)), lambda k: F.col("step") * COPIES + k)
+    each = steps.withColumn("copy", F.explode(own))
+    return each.select("doc_id", "size", "text_crc32", "copy", virtual_slot(F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.col("copy"), slots=slots).alias("virtual_slot"))
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -86,6 +90,7 @@ def rebalanced(old: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
 def saved(mapped: DataFrame, path: str) -> DataFrame:
     """Stores a version of the map under path, beside the older ones, and reads it back."""
     spark = mapped.sparkSession
+    mapped = written(mapped, "slot-map")  # a few thousand rows: packed once, not again for its version
     version = mapped.agg(F.max("version")).first()[0]
     mapped.select("virtual_slot", "shard").write.parquet(f"{path}/version={version}")
     return stored(spark, path, version)
@@ -111,11 +116,11 @@ def numbered(rows: DataFrame, mapped: DataFrame, slots: int = SLOTS, window_rows
     parts = loads.select("virtual_slot", F.greatest(F.ceil(F.col("rows") / window_rows), F.lit(1)).cast("int").alias("parts"))
     assigned = mapped.join(parts, "virtual_slot")
     rows = rows.join(F.broadcast(assigned), "virtual_slot")  # `slots` rows of four integers: bounded by the parameter
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "virtual_slot", "size", "text_crc32"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("virtual_slot", "doc_id", "size", "text_crc32", "copy"), F.col("parts")).cast("int"))
     counts = rows.groupBy("shard", "virtual_slot", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("virtual_slot", "part", before.alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32"))
+    inside = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32", "copy"))
     return rows.withColumn("inside", inside).join(offsets, ["virtual_slot", "part"]).withColumn("slot", F.col("offset") + F.col("inside") - 1)
 
 

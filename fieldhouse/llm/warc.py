@@ -3,11 +3,13 @@
 `records` gives each page a WARC record: its exact header block (version line to blank line) and its payload. Of records
 with equal payloads of at least LEAST bytes the one with the smallest page_id is a response, the others are revisits that
 name it; smaller payloads are always responses. `write_archive` stores two tables: payloads (digest, bytes), each digest
-once, and headers (page_id, header, digest). Only page ids and digests are grouped, so a payload shared by a third of all
-pages is not a hot group. `reconstruct` joins both tables into whole records; `parsed` reads headers with a few patterns;
-`read_archive` recomputes digest and length of every record's payload and fails where the digest is not the header's.
+once, and headers (page_id, url, header, digest). Only page ids and digests are grouped, so a payload shared by a third of
+all pages is not a hot group. `reconstruct` joins both tables into whole records and fails where a record's payload is not
+there; `parsed` reads headers with a few patterns; `read_archive` recomputes digest and length of every record's payload and
+fails where the digest is not the header's.
 
-Null html is an empty payload. Null urls give an empty target. Repeated page_ids with equal payloads: one of the rows is
+Null html is an empty payload. Null urls give an empty target; a header's target has line ends percent-encoded, and the url
+as it came stands beside the header. Repeated page_ids with equal payloads: one of the rows is
 taken as first, all rows with that page_id are responses. Extra columns are ignored.
 """
 
@@ -28,13 +30,13 @@ PREFIX = "urn:page:"
 def payloads(pages: DataFrame) -> DataFrame:
     """page_id, url, payload bytes, their digest and length."""
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("payload")).select(
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload")).select(
         "page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("length")
     )
 
 
 def headers(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """page_id, header (exact bytes as text), digest, and whether this row's payload is the one to store."""
+    """page_id, url, header (exact bytes as text), digest, and the first page with that payload."""
     rows = payloads(pages).drop("payload")
     firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
     kind = F.when((F.col("length") < LEAST) | F.col("page_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit")
@@ -46,7 +48,7 @@ def headers(pages: DataFrame, date: str = DATE) -> DataFrame:
         F.concat(F.lit("WARC-Record-ID: "), named("page_id")),
         F.lit(f"WARC-Date: {date}"),
         # a target is one header line: line ends inside an url are percent-encoded
-        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.when(F.col("kind") == "revisit", F.concat(F.lit("WARC-Refers-To: "), named("first_id"))),
         F.when(F.col("kind") == "revisit", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -54,7 +56,7 @@ def headers(pages: DataFrame, date: str = DATE) -> DataFrame:
         F.concat(F.lit("Content-Length: "), F.when(F.col("kind") == "revisit", F.lit(0)).otherwise(F.col("length"))),
     ]
     header = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))
-    return joined.select("page_id", header.alias("header"), "digest", "first_id")
+    return joined.select("page_id", "url", header.alias("header"), "digest", "first_id")
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
@@ -63,16 +65,16 @@ def write_archive(pages: DataFrame, path: str) -> None:
     headers(pages).write.option("compression", "zstd").parquet(f"{path}/headers")
     store = spark.read.parquet(f"{path}/headers")
     # one page for each digest; only those pages' bytes are moved. Null ids join null ids.
-    chosen = store.groupBy("digest").agg(F.min("page_id").alias("chosen"))
+    chosen = store.groupBy("digest", F.col("page_id").alias("chosen")).agg(F.count("*").alias("n")).groupBy("digest").agg(F.min_by(F.struct("chosen", "n"), F.struct(F.col("chosen").isNull(), "chosen")).alias("c")).select("digest", "c.*")
     bodies = payloads(pages).select("page_id", "digest", "payload")
-    same = bodies["digest"].eqNullSafe(chosen["digest"]) & bodies["page_id"].eqNullSafe(chosen["chosen"])
-    kept = bodies.join(chosen, same).select(bodies["digest"], "payload").dropDuplicates(["digest"]) if _repeats(store) else bodies.join(chosen, same).select(bodies["digest"], "payload")
-    kept.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # where the chosen page stands several times with that payload, one of its rows is stored
+    once, again = (_bodies_of(bodies, chosen.filter(test)) for test in ("n = 1", "n > 1"))
+    once.unionByName(again.dropDuplicates(["digest"])).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def _repeats(store: DataFrame) -> bool:
-    """Whether a page_id stands twice with the same payload; then a digest's bytes could be stored twice."""
-    return bool(store.groupBy("page_id", "digest").count().filter("count > 1").limit(1).count())
+def _bodies_of(bodies: DataFrame, chosen: DataFrame) -> DataFrame:
+    same = bodies["digest"].eqNullSafe(chosen["digest"]) & bodies["page_id"].eqNullSafe(chosen["chosen"])
+    return bodies.join(chosen, same).select(bodies["digest"], "payload")
 
 
 def parsed(header: F.Column) -> dict[str, F.Column]:
@@ -89,11 +91,13 @@ def parsed(header: F.Column) -> dict[str, F.Column]:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """Whole original records: page_id, header, record (header, then the payload of responses, then the record's end) and payload."""
+    """Whole original records: page_id, url, header, record (header, then the payload of responses, then the record's end) and
+    payload. A record whose payload is not in the store fails the job."""
     heads, stored = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    full = heads.join(stored, "digest")
+    lost = F.raise_error(F.concat(F.lit("missing payload "), "digest")).cast("binary")
+    full = heads.join(stored, "digest", "left").withColumn("payload", F.coalesce("payload", lost))
     body = F.when(parsed(F.col("header"))["record_type"] == "response", F.col("payload")).otherwise(F.lit(b""))
-    return full.select("page_id", "header", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return full.select("page_id", "url", "header", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -122,10 +122,45 @@ def test_op2_map_versions_are_stored_and_edited(spark, tmp_path):
 
 def test_op2_many_equal_ids_are_dealt_out(spark):
     docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
-    out = sharding.placed(docs, window_rows=100).collect()
+    out = sharding.placed(docs, slots=1, window_rows=100).collect()
     assert len({r["part"] for r in out}) == 20 and sorted(r["slot"] for r in out) == list(range(2000))
 
 
+@pytest.mark.parametrize("ids", ["if(id % 2 = 0, null, id)", "cast(7 as long)", "cast(null as long)"])
+def test_op2_null_and_equal_ids_keep_the_law(spark, ids):
+    """Half of the ids null, one id on all rows, no ids; a third of the rows equal in everything."""
+    docs = spark.range(6000).selectExpr(f"{ids} as doc_id", "if(id % 3 = 0, 'hot copy', repeat('a', cast(id % 300 as int))) as text")
+    if ids.startswith("if"):
+        docs = docs.unionByName(docs.selectExpr("cast(null as long) doc_id", "'hot copy' text"))
+    out = sharding.contract(docs).collect()
+    loads, places = Counter(), defaultdict(list)
+    for r in out:
+        loads[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert Counter(r["size"] for r in out) == Counter(r["n"] for r in docs.selectExpr("octet_length(text) + 1 n").collect())
+    assert set(places) == set(range(16)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(loads.values()) - min(loads.values()) <= 300
+
+
+def test_op3_missing_payload_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "ab"[i % 2] * 200) for i in range(9)], "page_id long, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_archive(pages, path)
+    assert warc.read_archive(spark, path).count() == 9
+    kept = [tuple(r) for r in spark.read.parquet(path + "/payloads").collect()][:1]
+    spark.createDataFrame(kept, "digest string, payload binary").write.mode("overwrite").parquet(path + "/payloads")
+    with pytest.raises(Exception, match="missing payload"):
+        warc.read_archive(spark, path).collect()
+
+
+def test_op3_urls_stand_beside_headers_as_they_came(spark, tmp_path):
+    urls = ["http://a/\nb", "http://a/%0Ab", None, "", "http://a/%20\r"]
+    path = str(tmp_path / "archive")
+    warc.write_archive(spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string"), path)
+    rows = {r["page_id"]: r for r in warc.reconstruct(spark, path).collect()}
+    assert [rows[i]["url"] for i in range(5)] == urls and all(rows[i]["header"].count("\r\n\r\n") == 1 for i in rows)
+
+
 def test_op3_corrupt_store_is_an_error(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 200), (None, "u", "a" * 200)], "page_id long, url string, html string")
     path = str(tmp_path / "archive")
