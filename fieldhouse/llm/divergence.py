@@ -15,44 +15,80 @@ Shared terms meet in an equality join on (lang, term) of the counts after aggreg
 grow with the vocabulary and the pairs of sources, which are the result's rows too, not with the documents.
 
 Null text, lang and source read as empty strings. Repeated rows are copies like others; an empty table gives an empty result.
-A very long text is a row like any other: its words are exploded where it was read. Other columns are ignored.
+A very long text is a row like any other: its words are added up where it was read. Other columns are ignored. Texts of equal
+SHA-256 are taken as equal.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldhouse.llm.util import written
+from fieldhouse.llm.util import small_batches, trimmed, written
 
 #: Documents of its language that a kept term has at least; added to each count; the whole of p; terms reported for a group.
 LEAST, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
-WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Sums that a task holds at a time.
+MOST_HELD = 300_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS, _LOWER = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), str.maketrans(UPPER, LOWER)
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
-    """lang, text, and copies: how often each source has that text. Copies are counted where they are read, then by (lang,
-    text, source), so that only one row for each of those meets its text."""
+    """lang, text, and copies: how often each source has that text. Rows are counted by digest, and of each digest one text
+    travels; both are combined where they are read, so that a hot text is no hot key."""
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    counted = docs.select(said("lang"), said("text"), said("source")).groupBy("lang", "text", "source").agg(F.count("*").alias("n"))
-    return counted.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
+    rows = docs.select(said("lang"), said("text"), said("source")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    counted = rows.groupBy("lang", "digest", "source").agg(F.count("*").alias("n"))
+    copies = counted.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
+    texts = rows.groupBy("lang", "digest").agg(F.first("text").alias("text"))
+    return texts.join(copies, ["lang", "digest"]).select("lang", "text", "copies")
+
+
+class _Tally(dict):
+    """(lang, source, term) -> occurrences, documents."""
+
+    def add(self, lang: str, text: str, copies: list[dict]) -> None:
+        words = Counter(_WORDS.findall(text.translate(_LOWER)))
+        for copy in copies:
+            source, n = copy["source"], copy["n"]
+            for term, times in words.items():
+                found = self.get((lang, source, term))
+                if found is None:
+                    self[lang, source, term] = [times * n, n]
+                else:
+                    found[0] += times * n
+                    found[1] += n
+
+    def flushed(self) -> pa.RecordBatch:
+        keys = list(zip(*self)) or [(), (), ()]
+        numbers = list(zip(*self.values())) or [(), ()]
+        self.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), *(pa.array(n, pa.int64()) for n in numbers)], ["lang", "source", "term", "count", "docs"])
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tally = _Tally()
+    for batch in batches:
+        for lang, text, copies in zip(*(c.to_pylist() for c in batch.columns)):
+            tally.add(lang, text, copies)
+            if len(tally) >= MOST_HELD:
+                yield tally.flushed()
+    yield tally.flushed()
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """lang, source, term, count (occurrences) and docs (documents with the term)."""
-    words = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)))
-    listed = texts.select("lang", "copies", words.alias("words")).filter("size(words) > 0")
-    # sorted words stand beside the word before them: a word that differs from it is the document's first of that term
-    none = F.array(F.lit(None).cast("string"))
-    beside = F.arrays_zip(F.col("words").alias("term"), F.concat(none, F.slice("words", F.lit(1), F.size("words") - 1)).alias("before"))
-    each = listed.select("lang", "copies", F.inline(beside).alias("term", "before"))
-    new = (~F.col("term").eqNullSafe(F.col("before"))).cast("long")
-    single = F.size("copies") == 1
-    # the usual text has one source: its words are not multiplied by an inner explode of it
-    rows = each.select("lang", "term", new.alias("new"), F.when(single, F.col("copies")[0]["source"]).alias("source"), F.when(single, F.col("copies")[0]["n"]).alias("n"), F.when(~single, F.col("copies")).alias("copies"))
-    partial = rows.select("lang", "term", "new", F.explode(F.coalesce("copies", F.array(F.struct("source", "n")))).alias("c"))
-    return partial.groupBy("lang", F.col("c.source").alias("source"), "term").agg(F.sum("c.n").alias("count"), F.sum(F.col("new") * F.col("c.n")).alias("docs"))
+    """lang, term, in_lang (occurrences), docs (documents with the term) and sources: each source's occurrences. Tasks add up
+    what they read and pass it on when they hold MOST_HELD sums; then all sums of a term meet, one row for each source."""
+    small_batches(texts.sparkSession)
+    partial = texts.select("lang", "text", "copies").mapInArrow(trimmed(_tallied), "lang string, source string, term string, count long, docs long")
+    sums = partial.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    return sums.groupBy("lang", "term").agg(F.sum("count").alias("in_lang"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "count")).alias("sources"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -68,12 +104,11 @@ class Shares:
     `terms` (lang, source, term, p, q): kept terms that a group has, with the group's and the language's shares."""
 
     def __init__(self, docs: DataFrame, least: int = LEAST):
-        texts = written(collapsed(docs), "distinct-texts")
-        counts = written(term_counts(texts), "term-counts")
-        kept = counts.groupBy("lang", "term").agg(F.sum("count").alias("in_lang"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).drop("docs")
-        own = written(counts.join(kept, ["lang", "term"]), "kept-counts")
+        texts = collapsed(docs)
+        kept = term_counts(texts).filter(F.col("docs") >= least)
+        own = written(kept.select("lang", "term", "in_lang", F.inline("sources")), "kept-counts")
         vocabulary = own.groupBy("lang", "term").agg(F.first("in_lang").alias("in_lang")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("in_lang").alias("total"))
-        every = texts.select("lang", F.explode("copies.source").alias("source")).distinct()
+        every = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
         totals = own.groupBy("lang", "source").agg(F.sum("count").alias("total"))
         langs = every.select("lang").distinct().join(vocabulary, "lang", "left").fillna(0, ["kept", "total"])
         groups = every.join(langs.select("lang", "kept"), "lang").join(totals, ["lang", "source"], "left").fillna(0, ["total"])
