@@ -59,18 +59,33 @@ def rpi(games: DataFrame, by: list[str] = ["season_id"]) -> DataFrame:  # noqa:
 MOST_PAIRS = 500_000
 
 
-def margins(games: DataFrame, by: list[str], clamp_at: int = 8, rate: float | None = None) -> DataFrame:
+def margins(games: DataFrame, by: list[str], clamp_at: int = 8, rate: float | None = None, over: list[str] | None = None) -> DataFrame:
     """(by, h, a): weight v, weighted clamped margins vm and number n of the games of each pair of teams. With a rate, games
-    weigh exp(-rate * days before the group's last game)."""
+    weigh exp(-rate * days before the last game) of their group, or of the keys `over`."""
     rows = games.filter("status = 'final'").withColumn("m", clamp(F.col("home_score") - F.col("away_score"), clamp_at).cast("double"))
     if rate is None:
         rows = rows.withColumn("v", F.lit(1.0))
     else:
-        last = rows.groupBy(*by).agg(F.max("game_date").alias("last"))
-        rows = rows.join(last, by).withColumn("v", decay(F.datediff("last", "game_date"), rate))
+        last = rows.groupBy(*(over or by)).agg(F.max("game_date").alias("last"))
+        rows = rows.join(last, over or by).withColumn("v", decay(F.datediff("last", "game_date"), rate))
     return rows.groupBy(*by, F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a")).agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("m")).alias("vm"), F.count("*").alias("n"))
 
 
+def solved(apply, b, x):
+    """The solution of a singular symmetric system by conjugate gradients from x, which never leave the space that x and the
+    right side b are in. A step is taken while a share of more than 1e-13 of b is left; without an end in sight it fails."""
+    r = b - apply(x)
+    p, rr, least = r.copy(), r @ r, 1e-26 * (b @ b)
+    for _ in range(20 * len(b) + 100):
+        if rr <= least:
+            return x
+        q = apply(p)
+        step = rr / (p @ q)
+        x, r = x + step * p, r - step * q
+        p, rr = r + (r @ r) / rr * p, r @ r
+    raise ValueError("ratings do not converge")
+
+
 def massey(games: DataFrame, by: list[str] = ["season_id"], clamp_at: int = 8, rate: float | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:  # noqa: B006
     """Least-squares margin ratings with a zero mean in each connected part of the schedule.
 
@@ -90,17 +105,9 @@ def massey(games: DataFrame, by: list[str] = ["season_id"], clamp_at: int = 8, r
         names, ends = np.unique(np.concatenate([pdf["h"].to_numpy(str), pdf["a"].to_numpy(str)]), return_inverse=True)
         h, a, v, size = ends[: len(pdf)], ends[len(pdf) :], pdf["v"].to_numpy(), len(names)
         spread = lambda d: np.bincount(h, d, size) - np.bincount(a, d, size)
-        x, r = np.zeros(size), spread(pdf["vm"].to_numpy())
-        if size < 2 or pdf["n"].sum() < size:
-            r = np.zeros(size)
-        p, rr, least = r.copy(), r @ r, 1e-26 * (r @ r)
-        for _ in range(20 * size):
-            if rr <= least:
-                break
-            q = spread(v * (p[h] - p[a]))
-            step = rr / (p @ q)
-            x, r = x + step * p, r - step * q
-            p, rr = r + (r @ r) / rr * p, r @ r
+        x, b = np.zeros(size), spread(pdf["vm"].to_numpy())
+        if size >= 2 and pdf["n"].sum() >= size:
+            x = solved(lambda p: spread(v * (p[h] - p[a])), b, x)
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] * size for c in by}, "team_id": names, "rating": x})
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in games.select(*by).schema)
@@ -132,6 +139,8 @@ def _massey_spread(pairs: DataFrame, by: list[str], least: float = 1e-26, most:
         now = moved.join(after, by).select(*by, "t", "degree", "x", "r", (F.col("r") + turn * F.col("p")).alias("p"))
         if left is None or left <= least:
             break
+    else:
+        raise ValueError(f"ratings do not converge in {most} steps: a share of {left} is left")
     return now.select(*by, F.col("t").alias("team_id"), F.col("x").alias("rating"))
 
 
@@ -296,20 +305,14 @@ def _project_spread(games: DataFrame, remaining: DataFrame, priors: DataFrame |
     return out.select(*by, "team_id", *[(F.round(F.round(F.col("p")[i], 4)) / 1e6).alias(n) for i, n in ((1, "median"), (0, "low"), (2, "high"))])
 
 
-def weekly(games: DataFrame, starts: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
-    """(games up to each week, games left after it), keyed by week_number. starts: (season_id, start_date).
-
-    A game of week g counts for every week from g on, up to the week of as_of or, where that is earlier, of the season's
-    last final game."""
-    finals = games.filter("status = 'final'").join(starts, "season_id").withColumn("week", F.greatest(week_number("game_date", "start_date"), F.lit(1)))
-    last = finals.groupBy("season_id").agg(F.max("week").alias("last_week"))
-    cap = F.col("last_week")
-    if as_of is not None:
-        cap = F.least(cap, F.greatest(week_number(F.to_date(F.lit(as_of)), "start_date"), F.lit(1)))
-    capped = last.join(starts, "season_id").select("season_id", cap.alias("current_week"))
-    upto = finals.join(capped, "season_id").filter("week <= current_week").withColumn("week_number", F.explode(F.sequence("week", "current_week")))
-    late = finals.join(capped, "season_id").withColumn("week_number", F.explode(F.sequence(F.lit(1), "current_week"))).filter("week > week_number")
-    scheduled = games.filter("status = 'scheduled'").join(capped, "season_id").withColumn("week_number", F.explode(F.sequence(F.lit(1), "current_week")))
+def weekly(games: DataFrame, weeks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(games up to each week, games left after it), keyed by week_number, for simulations: each week's simulation plays its
+    season from there, so it takes the season's games. weeks: (season_id, start_date, current_week). All other weekly figures
+    come from running sums (operators.weekly)."""
+    finals = games.filter("status = 'final'").join(weeks, "season_id").withColumn("week", F.greatest(week_number("game_date", "start_date"), F.lit(1)))
+    upto = finals.filter("week <= current_week").withColumn("week_number", F.explode(F.sequence("week", "current_week")))
+    late = finals.withColumn("week_number", F.explode(F.sequence(F.lit(1), "current_week"))).filter("week > week_number")
+    scheduled = games.filter("status = 'scheduled'").join(weeks, "season_id").withColumn("week_number", F.explode(F.sequence(F.lit(1), "current_week")))
     columns = [*games.columns, "week_number"]
     return upto.select(*columns), late.select(*columns).unionByName(scheduled.select(*columns))
 
@@ -325,31 +328,31 @@ def rank_teams(games: DataFrame, remaining: DataFrame, priors: DataFrame | None
     last = _sides_with(games, by)
     out = rpi(games, by).join(last, keys, "left")
     out = out.join(massey(games, by).withColumnRenamed("rating", "massey"), keys, "left").join(massey(games, by, rate=0.02).withColumnRenamed("rating", "massey_recency"), keys, "left")
+    return _with_projections(out, games, remaining, priors, n_sims, by).withColumn("computed_at", F.lit(computed_at).cast("timestamp"))
+
+
+def _with_projections(out: DataFrame, games: DataFrame, remaining: DataFrame, priors: DataFrame | None, n_sims: int, by: list[str]) -> DataFrame:
     for name, given in (("flat", None), ("seeded", priors)):
         cols = {"median": f"projected_rpi_{name}", "low": f"projected_rpi_{name}_low", "high": f"projected_rpi_{name}_high"}
         if name == "seeded" and priors is None:
             out = out.withColumns({c: F.lit(None).cast("double") for c in cols.values()})
         else:
-            out = out.join(project_rpi(games, remaining, given, n_sims, by=by).withColumnsRenamed(cols), keys, "left")
-    return out.withColumn("computed_at", F.lit(computed_at).cast("timestamp"))
+            out = out.join(project_rpi(games, remaining, given, n_sims, by=by).withColumnsRenamed(cols), [*by, "team_id"], "left")
+    return out
 
 
 def weekly_rankings(games: DataFrame, starts: DataFrame, priors: DataFrame | None = None, n_sims: int = 1000, as_of=None) -> DataFrame:
     """All rankings of each team in each week, and its posterior strength then, flat and seeded. priors: (season_id, team_id, rpi).
 
     A week's projection simulates the games left after it, played since or not."""
-    by = ["season_id", "week_number"]
-    upto, left = weekly(games, starts, as_of)
+    from fieldhouse.operators.weekly import BY, Cube, ratings
+
+    cube = Cube(games, starts, as_of)
+    out = ratings(games, starts, priors, as_of, cube)
+    upto, left = weekly(games, cube.weeks)
     if priors is not None:
-        priors = priors.join(upto.select(*by).distinct(), "season_id")
-    out = rank_teams(upto, left, priors, n_sims, by)
-    for name, given in (("flat", None), ("seeded", priors)):
-        cols = {"mu": f"mu_{name}", "var": f"var_{name}"}
-        if name == "seeded" and priors is None:
-            out = out.withColumns({c: F.lit(None).cast("double") for c in cols.values()})
-        else:
-            out = out.join(posterior(upto, given, by).withColumnsRenamed(cols), [*by, "team_id"], "left")
-    return out
+        priors = priors.join(upto.select(*BY).distinct(), "season_id")
+    return _with_projections(out, upto, left, priors, n_sims, BY)
 
 
 def _sides_with(games: DataFrame, by: list[str]) -> DataFrame:

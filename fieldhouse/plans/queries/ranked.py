@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from fieldhouse.operators import rankings
+from fieldhouse.operators import rankings, weekly
 from fieldhouse.registry import query
+from fieldhouse.storage import written
 
 
 def rpi_sql(games: str, by: str = "season_id") -> str:
@@ -142,20 +143,59 @@ _STARTS = "make_date(CAST(season_id AS INT), 2, 1)"
 _WEEKS = f"SELECT *, greatest(1, CAST(floor((game_date - ({_STARTS} + CAST((8 - isodow({_STARTS})) % 7 AS INT))) / 7.0) AS INT) + 1) AS week FROM fx_games WHERE status = 'final'"
 
 
-#: wins, losses and rpi of r08; the other rankings have no SQL.
-R08_PART_SQL = f"WITH wk AS ({_WEEKS}), lastw AS (SELECT season_id, max(week) AS last_week FROM wk GROUP BY season_id), hist AS (SELECT wk.*, CAST(n.n AS INT) AS week_number FROM wk JOIN lastw USING (season_id) JOIN (SELECT range AS n FROM range(1, 60)) n ON n.n >= wk.week AND n.n <= last_week), {rpi_sql('hist', 'season_id, week_number')} SELECT season_id, week_number, team_id, wins, losses, rpi FROM rpi"
+_HIST = f"wk AS ({_WEEKS}), lastw AS (SELECT season_id, max(week) AS last_week FROM wk GROUP BY season_id), hist AS (SELECT wk.*, CAST(n.n AS INT) AS week_number FROM wk JOIN lastw USING (season_id) JOIN (SELECT range AS n FROM range(1, 60)) n ON n.n >= wk.week AND n.n <= last_week)"
+#: wins, losses and rpi of r08.
+R08_PART_SQL = f"WITH {_HIST}, {rpi_sql('hist', 'season_id, week_number')} SELECT season_id, week_number, team_id, wins, losses, rpi FROM rpi"
+
+
+def _starts(t):
+    return t.games.select("season_id").distinct().withColumn("start_date", F.make_date(F.col("season_id").cast("int"), F.lit(2), F.lit(1)))
 
 
 @query("r08_weekly_history")
 def _(t):
-    starts = t.games.select("season_id").distinct().withColumn("start_date", F.make_date(F.col("season_id").cast("int"), F.lit(2), F.lit(1)))
-    return rankings.weekly_rankings(t.games, starts, _priors(t), n_sims=SIMS)
+    return rankings.weekly_rankings(t.games, _starts(t), _priors(t), n_sims=SIMS)
+
+
+_STRENGTHS = """
+x AS (SELECT season_id, week_number, team_id, sum(m) AS m, count(*) AS n, arg_max(division_id, strftime(game_date, '%Y%m%d') || id) AS division_id FROM (
+  SELECT season_id, week_number, home_team_id AS team_id, home_score - away_score AS m, division_id, game_date, id FROM hist UNION ALL SELECT season_id, week_number, away_team_id, away_score - home_score, division_id, game_date, id FROM hist) s GROUP BY ALL)"""
+
+
+@query("r08_weekly_ratings", f"WITH {_PAST}, {_HIST}, {rpi_sql('hist', 'season_id, week_number')}, prior AS ({_PRIOR.replace('past.rpi', 'past_rpi')}), {_STRENGTHS} SELECT rpi.season_id, rpi.week_number, rpi.team_id, wins, losses, rpi, division_id, round((m / 16.0) / (1 + n / 16.0), 9) AS mu_flat, round((coalesce(mu0, 0) + m / 16.0) / (1 + n / 16.0), 6) AS mu_seeded, round(1 / (1 + n / 16.0), 9) AS var_flat, round(1 / (1 + n / 16.0), 9) AS var_seeded FROM rpi JOIN x ON x.season_id = rpi.season_id AND x.week_number = rpi.week_number AND x.team_id = rpi.team_id LEFT JOIN prior z ON z.season_id = rpi.season_id AND z.team_id = rpi.team_id")
+def _(t):
+    """Record, rpi, division and strengths of each week; its margin ratings have a query of their own."""
+    cube = weekly.Cube(t.games, _starts(t))
+    keys = [*weekly.BY, "team_id"]
+    out = cube.rpi().join(cube.records().select(*keys, "division_id"), keys)
+    for name, given, places in (("flat", None, 9), ("seeded", _priors(t), 6)):
+        out = out.join(cube.posterior(given).select(*keys, F.round("mu", places).alias(f"mu_{name}"), F.round("var", 9).alias(f"var_{name}")), keys)
+    return out.select(*keys, "wins", "losses", "rpi", "division_id", "mu_flat", "mu_seeded", "var_flat", "var_seeded")
+
+
+_WEEKLY_FIT = f"""
+WITH {_HIST}, g AS (SELECT season_id, week_number, home_team_id AS t, greatest(least(home_score - away_score, 8), -8) AS m FROM hist UNION ALL SELECT season_id, week_number, away_team_id, -greatest(least(home_score - away_score, 8), -8) FROM hist),
+s AS (SELECT season_id, week_number, t AS team_id, sum(m) AS fitted, count(*) AS games FROM g GROUP BY ALL),
+n AS (SELECT season_id, week_number, sum(games) / 2 AS games, count(*) AS teams FROM s GROUP BY ALL)
+SELECT season_id, week_number, team_id, s.games, CASE WHEN n.games >= n.teams AND n.teams >= 2 THEN round(CAST(fitted AS DOUBLE), 5) + 0.0 ELSE 0.0 END AS fitted, 0.0 AS mean_rating FROM s JOIN n USING (season_id, week_number)"""
+
+
+@query("r08_weekly_massey_fit", _WEEKLY_FIT)
+def _(t):
+    """What the ratings of each week explain: the normal equations, and a zero for the mean."""
+    cube = weekly.Cube(t.games, _starts(t))
+    rated = written(cube.massey(), "weekly-massey")
+    other = rated.select(*weekly.BY, F.col("team_id").alias("o"), F.col("rating").alias("theirs"))
+    pairs = cube.pairs.select("season_id", F.col("t").alias("team_id"), "o", "n", F.explode(F.sequence("from", "to")).alias("week_number"))
+    joined = pairs.join(rated, [*weekly.BY, "team_id"]).join(other, [*weekly.BY, "o"])
+    fitted = joined.groupBy(*weekly.BY, "team_id").agg(F.sum("n").alias("games"), (F.round(F.sum(F.col("n") * (F.col("rating") - F.col("theirs"))), 5) + 0.0).alias("fitted"))
+    mean = rated.groupBy(*weekly.BY).agg((F.round(F.avg("rating"), 6) + 0.0).alias("mean_rating"))
+    return fitted.join(mean, weekly.BY)
 
 
 @query("j16_week_expansion", f"WITH wk AS ({_WEEKS}), lastw AS (SELECT season_id, max(week) AS last_week FROM wk GROUP BY season_id) SELECT season_id, CAST(n.n AS INT) AS week_number, count(*) AS games FROM wk JOIN lastw USING (season_id) JOIN (SELECT range AS n FROM range(1, 60)) n ON n.n >= wk.week AND n.n <= last_week GROUP BY season_id, n.n")
 def _(t):
-    starts = t.games.select("season_id").distinct().withColumn("start_date", F.make_date(F.col("season_id").cast("int"), F.lit(2), F.lit(1)))
-    return rankings.weekly(t.games, starts)[0].groupBy("season_id", "week_number").agg(F.count("*").alias("games"))
+    return weekly.Cube(t.games, _starts(t)).games_upto()
 
 
 @query("j17_prior_season", f"WITH {rpi_sql('fx_games')} SELECT CAST(CAST(season_id AS INT) + 1 AS VARCHAR) AS season_id, team_id, rpi FROM rpi WHERE rpi <> 0")
