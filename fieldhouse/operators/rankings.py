@@ -174,54 +174,74 @@ def normal(*parts: Column) -> Column:
 
 #: Cells (team by simulation) up to which one task simulates a group; larger groups are simulated in rows.
 MOST_CELLS = 20_000_000
+#: Simulations of one task. Each block reads its group's games, so groups that are many and share games take one block.
+BLOCK_SIMS = 63
 
 
-def project_rpi(games: DataFrame, remaining: DataFrame, priors: DataFrame | None = None, n_sims: int = 1000, seed: int = 42, by: list[str] = ["season_id"], most_cells: int = MOST_CELLS) -> DataFrame:  # noqa: B006
+def project_rpi(games: DataFrame, remaining: DataFrame, priors: DataFrame | None = None, n_sims: int = 1000, seed: int = 42, by: list[str] = ["season_id"], most_cells: int = MOST_CELLS, block: int = BLOCK_SIMS) -> DataFrame:  # noqa: B006
     """Median, 5th and 95th percentile of the end-of-season RPI over simulations of the remaining games. Groups without
     remaining games have no rows; a remaining game with a team that has not played is skipped.
 
-    A group (season, or season and week) of up to most_cells teams by simulations is simulated in one task, on vectors over
-    simulations; larger groups in rows, with the same draws. Draws depend on the first key of the group, so that all weeks
-    of a season share them."""
+    A group (season, or season and week) is simulated in blocks of simulations, each in a task on vectors over simulations;
+    then the values of a team meet. Groups of more than most_cells teams by simulations of a block are simulated in rows, with
+    the same draws. Draws depend on the first key of the group, so that all weeks of a season share them."""
     left = remaining.select(*by, F.lit(1).alias("kind"), "id", F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), F.lit(0).alias("m"))
     done = games.filter("status = 'final'").select(*by, F.lit(0).alias("kind"), "id", F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), (F.col("home_score") - F.col("away_score")).alias("m"))
     open_groups = left.select(*by).distinct()
     done = done.join(open_groups, by, "left_semi")
     teams = done.select(*by, F.explode(F.array("h", "a")).alias("t")).groupBy(*by).agg(F.countDistinct("t").alias("teams"))
-    wide = teams.filter(F.col("teams") * n_sims > most_cells).select(*by)
+    wide = teams.filter(F.col("teams") * min(block, n_sims) > most_cells).select(*by)
     rows = done.unionByName(left).withColumn("mu0", F.lit(None).cast("double"))
     if priors is not None:
         none = F.lit(None).cast("string")
         rows = rows.unionByName(_prior_means(priors, by).join(open_groups, by, "left_semi").select(*by, F.lit(2).alias("kind"), none.alias("id"), F.col("team_id").alias("h"), none.alias("a"), F.lit(0).alias("m"), "mu0"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in games.select(*by).schema)
-    near = lambda df: df.groupBy(*by).applyInPandas(_simulator(by, n_sims, seed), f"{kinds}, team_id string, median double, low double, high double")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // block))).alias("block")
+
+    def near(df: DataFrame) -> DataFrame:
+        parts = df.select("*", blocks).groupBy(*by, "block").applyInPandas(_simulator(by, n_sims, seed, block), f"{kinds}, team_id string, millionths array<int>")
+        every = parts.groupBy(*by, "team_id").agg(F.array_sort(F.flatten(F.collect_list("millionths"))).alias("v"))
+        return every.select(*by, "team_id", *[_percentile("v", p, n_sims).alias(n) for n, p in (("median", 50), ("low", 5), ("high", 95))])
+
     if wide.isEmpty():
         return near(rows)
     spread = _project_spread(games.join(wide, by, "left_semi"), remaining.join(wide, by, "left_semi"), priors, n_sims, seed, by)
     return near(rows.join(wide, by, "left_anti")).unionByName(spread)
 
 
-def _simulator(by: list[str], n_sims: int, seed: int):
-    """The simulation of one group's rows: kind 0 final games with margin m, 1 remaining games, 2 prior means mu0 of h."""
+def _percentile(values: str, percent: int, count: int) -> Column:
+    """Of `count` sorted millionths: between two places by their distance, in whole numbers; halves of a millionth up."""
+    low, rest = divmod(percent * (count - 1), 100)
+    at = lambda i: F.col(values)[min(i, count - 1)].cast("long")
+    between = at(low) * (100 - rest) + at(low + 1) * rest
+    return F.call_function("div", 2 * between + 100, F.lit(200).cast("long")) / 1e6
+
+
+def _simulator(by: list[str], n_sims: int, seed: int, block: int):
+    """A block of simulations of one group's rows: kind 0 final games with margin m, 1 remaining games, 2 prior means mu0 of h."""
     import numpy as np
     import pandas as pd
 
     drawn: dict = {}
+    sims = range(n_sims)
 
     def draws(kind: str, group: str, name: str) -> np.ndarray:
         """Numbers of one name in all simulations, as `normal` or `uniform` give them; remembered for the current group key."""
         from hashlib import md5
 
-        if drawn.get("group") != group:
+        if drawn.get("group") != (group, sims[0]):
             drawn.clear()
-            drawn["group"] = group
+            drawn["group"] = group, sims[0]
         if (kind, name) not in drawn:
-            each = lambda k: (np.array([int(md5(f"{k}|{i}|{name}|{seed}|{group}".encode()).hexdigest()[:12], 16) for i in range(n_sims)], float) + 0.5) / float(1 << 48)
+            each = lambda k: (np.array([int(md5(f"{k}|{i}|{name}|{seed}|{group}".encode()).hexdigest()[:12], 16) for i in sims], float) + 0.5) / float(1 << 48)
             drawn[kind, name] = np.sqrt(-2 * np.log(each("r"))) * np.cos(2 * 3.141592653589793 * each("a")) if kind == "normal" else each(kind)
         return drawn[kind, name]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in (*by, "team_id", "median", "low", "high")})
+        nonlocal sims
+        begins = int(pdf["block"].iloc[0]) * block
+        sims = range(begins, min(begins + block, n_sims))
+        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in (*by, "team_id", "millionths")})
         done, left = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
         names, ends = np.unique(np.concatenate([done["h"].to_numpy(str), done["a"].to_numpy(str)]), return_inverse=True)
         at = {t: i for i, t in enumerate(names)}
@@ -253,9 +273,9 @@ def _simulator(by: list[str], n_sims: int, seed: int):
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))  # every team has an edge
         summed = lambda x: np.add.reduceat(x, starts, axis=0)
         games_of = summed(n)[:, None]
-        out = np.empty((size, n_sims), np.int64)  # millionths
+        out = np.empty((size, len(sims)), np.int32)  # millionths
         step = max(8, min(128, 2_000_000 // count))  # simulations at a time: bounds the vectors over edges
-        for begin in range(0, n_sims, step):
+        for begin in range(0, len(sims), step):
             own = home[:, begin : begin + step].astype(float)
             w, l = (np.repeat(x[:, None], own.shape[1], axis=1) for x in (won, lost))  # noqa: E741
             np.add.at(w, second, np.concatenate([own, 1 - own]))
@@ -269,15 +289,8 @@ def _simulator(by: list[str], n_sims: int, seed: int):
             oowp = summed(n[:, None] * owp[o]) / games_of
             wp = np.where(tw + tl > 0, tw / np.where(tw + tl > 0, tw + tl, 1), 0)
             out[:, begin : begin + step] = (np.rint((0.25 * wp + 0.5 * owp + 0.25 * oowp) * 1e9).astype(np.int64) + 500) // 1000
-        out.sort(axis=1)
-
-        def percentile(percent: int) -> np.ndarray:
-            """Between two places by their distance, in whole numbers; halves of a millionth up."""
-            low, rest = divmod(percent * (n_sims - 1), 100)
-            between = out[:, low] * (100 - rest) + out[:, min(low + 1, n_sims - 1)] * rest
-            return (2 * between + 100) // 200 / 1e6
 
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * size for c in by}, "team_id": names, "median": percentile(50), "low": percentile(5), "high": percentile(95)})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * size for c in by}, "team_id": names, "millionths": list(out)})
 
     return run
 
@@ -305,10 +318,13 @@ def _project_spread(games: DataFrame, remaining: DataFrame, priors: DataFrame |
     return out.select(*by, "team_id", *[(F.round(F.round(F.col("p")[i], 4)) / 1e6).alias(n) for i, n in ((1, "median"), (0, "low"), (2, "high"))])
 
 
-def weekly(games: DataFrame, weeks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def weekly(games: DataFrame, starts: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
     """(games up to each week, games left after it), keyed by week_number, for simulations: each week's simulation plays its
-    season from there, so it takes the season's games. weeks: (season_id, start_date, current_week). All other weekly figures
-    come from running sums (operators.weekly)."""
+    season from there, so it takes the season's games. starts: (season_id, start_date). All other weekly figures come from
+    running sums (operators.weekly)."""
+    from fieldhouse.operators.weekly import season_weeks
+
+    weeks = starts if "current_week" in starts.columns else season_weeks(games, starts, as_of)
     finals = games.filter("status = 'final'").join(weeks, "season_id").withColumn("week", F.greatest(week_number("game_date", "start_date"), F.lit(1)))
     upto = finals.filter("week <= current_week").withColumn("week_number", F.explode(F.sequence("week", "current_week")))
     late = finals.withColumn("week_number", F.explode(F.sequence(F.lit(1), "current_week"))).filter("week > week_number")
@@ -331,13 +347,13 @@ def rank_teams(games: DataFrame, remaining: DataFrame, priors: DataFrame | None
     return _with_projections(out, games, remaining, priors, n_sims, by).withColumn("computed_at", F.lit(computed_at).cast("timestamp"))
 
 
-def _with_projections(out: DataFrame, games: DataFrame, remaining: DataFrame, priors: DataFrame | None, n_sims: int, by: list[str]) -> DataFrame:
+def _with_projections(out: DataFrame, games: DataFrame, remaining: DataFrame, priors: DataFrame | None, n_sims: int, by: list[str], block: int = BLOCK_SIMS) -> DataFrame:
     for name, given in (("flat", None), ("seeded", priors)):
         cols = {"median": f"projected_rpi_{name}", "low": f"projected_rpi_{name}_low", "high": f"projected_rpi_{name}_high"}
         if name == "seeded" and priors is None:
             out = out.withColumns({c: F.lit(None).cast("double") for c in cols.values()})
         else:
-            out = out.join(project_rpi(games, remaining, given, n_sims, by=by).withColumnsRenamed(cols), [*by, "team_id"], "left")
+            out = out.join(project_rpi(games, remaining, given, n_sims, by=by, block=block).withColumnsRenamed(cols), [*by, "team_id"], "left")
     return out
 
 
@@ -352,7 +368,7 @@ def weekly_rankings(games: DataFrame, starts: DataFrame, priors: DataFrame | Non
     upto, left = weekly(games, cube.weeks)
     if priors is not None:
         priors = priors.join(upto.select(*BY).distinct(), "season_id")
-    return _with_projections(out, upto, left, priors, n_sims, BY)
+    return _with_projections(out, upto, left, priors, n_sims, BY, n_sims)
 
 
 def _sides_with(games: DataFrame, by: list[str]) -> DataFrame:
