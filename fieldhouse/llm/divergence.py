@@ -111,13 +111,12 @@ class Shares:
         every = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
         totals = own.groupBy("lang", "source").agg(F.sum("count").alias("total"))
         langs = every.select("lang").distinct().join(vocabulary, "lang", "left").fillna(0, ["kept", "total"])
-        groups = every.join(langs.select("lang", "kept"), "lang").join(totals, ["lang", "source"], "left").fillna(0, ["total"])
+        groups = every.join(langs.select("lang", "kept", F.col("total").alias("lang_total")), "lang").join(totals, ["lang", "source"], "left").fillna(0, ["total"])
         self.langs = langs
         self.groups = written(groups.withColumn("least", share(F.lit(0), F.col("total"), F.col("kept"))), "groups")
         p = share(F.col("count"), F.col("total"), F.col("kept"))
         q = share(F.col("in_lang"), F.col("lang_total"), F.col("kept"))
-        wide = own.join(self.groups.select("lang", "source", "total", "kept"), ["lang", "source"]).join(langs.select("lang", F.col("total").alias("lang_total")), "lang")
-        self.terms = written(wide.select("lang", "source", "term", p.alias("p"), q.alias("q")), "term-shares")
+        self.terms = written(own.join(self.groups.drop("least"), ["lang", "source"]).select("lang", "source", "term", p.alias("p"), q.alias("q")), "term-shares")
 
     def pairs(self) -> DataFrame:
         """lang, source, item (another source of the language) and value: the sum of |p - q| over all kept terms."""
@@ -127,10 +126,11 @@ class Shares:
         gap = F.abs(F.col("least1") - F.col("least2"))
         base = both.select("lang", "source1", "source2", F.when(F.col("kept1") > 0, F.col("kept1") * gap).otherwise(0).alias("value"))
         # a source's own terms against another's share of no occurrence: by distinct share of it, as many terms have the same
-        spread = self.terms.groupBy("lang", "source", "p").agg(F.count("*").alias("n"))
-        own = named(spread, 1).join(named(groups.drop("kept"), 2), "lang").filter("source1 <> source2").join(groups.select("lang", F.col("source").alias("source1"), "least"), ["lang", "source1"])
+        spread = self.terms.groupBy("lang", F.col("source").alias("source1"), F.col("p").alias("p1")).agg(F.count("*").alias("n1"))
+        others = both.select("lang", F.inline(F.array(F.struct("source1", "least1", "source2", "least2"), F.struct(F.col("source2").alias("source1"), F.col("least2").alias("least1"), F.col("source1").alias("source2"), F.col("least1").alias("least2")))))
+        own = spread.join(others, ["lang", "source1"])
         alone = own.groupBy("lang", F.least("source1", "source2").alias("source1"), F.greatest("source1", "source2").alias("source2")).agg(
-            F.sum(F.col("n1") * (F.abs(F.col("p1") - F.col("least2")) - F.abs(F.col("least") - F.col("least2")))).alias("value")
+            F.sum(F.col("n1") * (F.abs(F.col("p1") - F.col("least2")) - gap)).alias("value")
         )
         terms = self.terms.select("lang", "source", "term", "p").join(groups.drop("kept"), ["lang", "source"])
         shared = terms.select("lang", "term", *[F.col(c).alias(f"{c}1") for c in ("source", "p", "least")]).join(terms.select("lang", "term", *[F.col(c).alias(f"{c}2") for c in ("source", "p", "least")]), ["lang", "term"]).filter("source1 < source2")
