@@ -100,7 +100,11 @@ def player_season_stats(stats: DataFrame, players: DataFrame, seasons: DataFrame
     joined = stats.join(players.select(F.col("id").alias("player_id"), F.col("name").alias("full_name")), "player_id").join(latest, "player_id", "left")
     sums = [F.sum(c).alias(c) for c in TOTALS] + [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("minutes_played", "goalie_minutes")] + [F.sum(c).alias(c) for c in ("goals_allowed", "saves")]
     out = joined.groupBy("player_id", "team_id", "season_id", "primary_position").agg(F.max("division_id").alias("division_id"), F.max("full_name").alias("player_name"), F.countDistinct("game_id").alias("games_played"), *sums)
-    return out.withColumns(
+    return with_player_ratios(out)
+
+
+def with_player_ratios(sums: DataFrame) -> DataFrame:
+    return sums.withColumns(
         {
             "points_per_game": ratio(F.col("points"), F.col("games_played"), 2),
             "goals_per_game": ratio(F.col("goals"), F.col("games_played"), 2),
@@ -124,9 +128,12 @@ def team_season_stats(seasons: DataFrame, games: DataFrame, stats: DataFrame) ->
     totals = stats.groupBy(*keys).agg(F.max("division_id").alias("division_id"), *[F.sum(c).alias(f"total_{c}") for c in counted])
     joined = seasons.join(team_record(games), keys, "left").join(totals, keys, "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ["wins", "losses", "ties", "goals_for", "goals_against", *[f"total_{c}" for c in counted]]}
-    out = joined.withColumns(zero | {"division_id": F.coalesce("division_id", F.lit(1))})
+    return with_team_ratios(joined.withColumns(zero | {"division_id": F.coalesce("division_id", F.lit(1))}))
+
+
+def with_team_ratios(sums: DataFrame) -> DataFrame:
     played = F.col("wins") + F.col("losses") + F.col("ties")
-    return out.withColumns(
+    return sums.withColumns(
         {
             "games_played": played,
             "goal_diff": F.col("goals_for") - F.col("goals_against"),

@@ -10,6 +10,8 @@ from fieldhouse.plans import daily
 from fieldhouse.registry import query
 from fieldhouse.sources import documents
 from fieldhouse.storage import new_folder
+from fieldhouse.streaming import ingest
+from fieldhouse.versions import Store
 
 def _even() -> F.Column:
     return F.col("id").cast("long") % 2 == 0
@@ -238,6 +240,61 @@ def _(t):
     return t.spark.read.schema("id string, division_id int, home_score int, season_id string").parquet(folder).select("id", "season_id", "home_score")
 
 
+def _two_batches(t, path: str, killed: bool = False):
+    """Games and player rows of all seasons in one commit, 1997 once more with other rows in a second; with killed, a third
+    batch ends between its two tables."""
+    store, seasons = Store(t.spark, path), [r["season_id"] for r in t.games.select("season_id").distinct().collect()]
+    games = t.games.select("id", "season_id", "division_id", "home_score")
+    stats = t.raw_stats.select("game_id", "season_id", "team_id", "goals", "shots")
+    with store.batch() as batch:
+        batch.put("games", games, seasons)
+        batch.put("player_game_stats", stats, seasons)
+    with store.batch() as batch:
+        batch.put("games", games.withColumn("home_score", F.col("home_score") + 100), ["1997"])
+        batch.put("player_game_stats", stats.withColumn("goals", F.col("goals") + 1), ["1997"])
+    if killed:
+        broken = store.batch()
+        broken.put("games", games.withColumn("home_score", F.lit(-1)), ["1997", "1998"])  # and no commit
+    return store
+
+
+@query("s13_transaction", "SELECT 'games' AS part, season_id, count(*) AS n, CAST(sum(CASE WHEN season_id = '1997' THEN home_score + 100 ELSE home_score END) AS BIGINT) AS total FROM fx_games GROUP BY season_id UNION ALL SELECT 'player_game_stats', season_id, count(*), CAST(sum(CASE WHEN season_id = '1997' THEN goals + 1 ELSE goals END) AS BIGINT) FROM fx_player_game_stats GROUP BY season_id")
+def _(t):
+    """Two tables under one commit record, one season of both replaced in a second commit, a third that never came to its end."""
+    store = _two_batches(t, new_folder(t.spark, "store"), killed=True)
+    part = lambda name, c: store.read(name).groupBy("season_id").agg(F.count("*").alias("n"), F.sum(c).cast("long").alias("total")).withColumn("part", F.lit(name))
+    return part("games", "home_score").unionByName(part("player_game_stats", "goals"))
+
+
+#: Games by id as two batches leave them: files that come late win, then those with a score, then the last path.
+_INGESTED = f"""
+g AS (SELECT *, '/' || season_id || CASE division_id WHEN 1 THEN '/' ELSE '/division' || division_id || '/' END || CASE WHEN CAST(own_id AS BIGINT) % 2 = 0 THEN 'games' ELSE 'ncaa' END || '/game_' || own_id || '_info.json' AS path
+  FROM ({_INFO.replace("SELECT CASE", "SELECT g.id AS own_id, CASE", 1).replace("CASE WHEN NOT CAST(g.id AS BIGINT) % 2 = 1 THEN home_team_id END", "home_team_id").replace("CASE WHEN NOT CAST(g.id AS BIGINT) % 2 = 1 THEN away_team_id END", "away_team_id")}) x),
+i AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(home_score % 2 = 1, false) DESC, home_score IS NULL, path DESC) = 1),
+k AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY home_team_id, away_team_id, game_date ORDER BY id) = 1)"""
+
+
+@query("s20_incremental", f"WITH {_INGESTED} SELECT id, season_id, division_id, home_team_id, away_team_id, home_score, away_score, status, game_date FROM k")
+def _(t):
+    """Two batches of a file stream: games of odd scores come without one at first, then all files come again. The stream's
+    state drops those that did not change; late scores update the games."""
+    folder, out, checkpoint = (new_folder(t.spark, n) for n in ("landing", "ingested", "stream"))
+    late = F.col("home_score") % 2 == 1
+    early = _Games(t, t.games.withColumns({c: F.when(~late, F.col(c)) for c in ("home_score", "away_score")}))
+    roster = t.players.select("team_id", F.col("id").alias("player_id"), "name", F.col("id").alias("ordinal"))
+    for games in (early, t):
+        info_files(games).select("path", "value").write.mode("append").json(folder)
+        ingest.ingest(t.spark, folder, out, checkpoint, t.teams, roster, lambda tables: {}, ingest.packed(t.spark, folder))
+    return Store(t.spark, out).read("games").select("id", "season_id", "division_id", "home_team_id", "away_team_id", "home_score", "away_score", "status", "game_date")
+
+
+class _Games:
+    """A league with other games."""
+
+    def __init__(self, league, games: DataFrame):
+        self.teams, self.games = league.teams, games
+
+
 @query("s14_csv_report", "SELECT id, CAST(NULL AS VARCHAR) AS comment, CAST(home_score AS VARCHAR) AS home_score FROM fx_games")
 def _(t):
     folder = new_folder(t.spark, "report")

@@ -5,8 +5,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldhouse.operators import enrich, grid, pbp, quality
+from fieldhouse.operators import deltas, enrich, grid, pbp, quality
 from fieldhouse.registry import query
+from fieldhouse.storage import new_folder, written
+from fieldhouse.versions import Store
 
 
 @query("a01_team_games", "SELECT id, season_id, team_id, opponent_id, goals_for, goals_against, is_home FROM d_sides")
@@ -178,6 +180,34 @@ def _(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _by_batches(t):
+    """Sums of all games from two batches: the first with wrong scores and goals in every game of an even home score, the
+    second puts those games right."""
+    store, seasons = Store(t.spark, new_folder(t.spark, "sums")), [r["season_id"] for r in t.games.select("season_id").distinct().collect()]
+    stats = written(t.stats, "stats")
+    ids = written(t.games.filter("home_score % 2 = 0").select(F.col("id").alias("game_id")), "wrong-games")
+    wrong = lambda df, key: df.join(ids.withColumnRenamed("game_id", key), key, "left_semi")
+    right = lambda df, key: df.join(ids.withColumnRenamed("game_id", key), key, "left_anti")
+    old = wrong(t.games, "id").withColumn("home_score", F.col("home_score") + 9), wrong(stats, "game_id").withColumn("goals", F.col("goals") + 2)
+    with store.batch() as batch:
+        deltas.apply(batch, seasons, None, (right(t.games, "id").unionByName(old[0].select(*t.games.columns)), right(stats, "game_id").unionByName(old[1].select(*stats.columns))))
+    with store.batch() as batch:
+        deltas.apply(batch, seasons, old, (wrong(t.games, "id"), wrong(stats, "game_id")))
+    return store
+
+
+@query("c13_team_sums", "SELECT team_id, season_id, team_name, division_id, wins, losses, ties, goals_for, goals_against, total_shots, total_saves, win_pct, shooting_pct FROM d_tss")
+def _(t):
+    columns = ["wins", "losses", "ties", "goals_for", "goals_against", "total_shots", "total_saves", "win_pct", "shooting_pct"]
+    return deltas.team_season_stats(_by_batches(t), t.teams).select("team_id", "season_id", "team_name", "division_id", *columns)
+
+
+@query("c13_player_sums", "SELECT player_id, team_id, season_id, division_id, player_name, games_played, goals, assists, points, shots, coalesce(saves, 0) AS saves, coalesce(goals_allowed, 0) AS goals_allowed, goalie_minutes, points_per_game, shooting_pct FROM d_pss")
+def _(t):
+    columns = ["games_played", "goals", "assists", "points", "shots", "saves", "goals_allowed", "goalie_minutes", "points_per_game", "shooting_pct"]
+    return deltas.player_season_stats(_by_batches(t), t.players).select("player_id", "team_id", "season_id", "division_id", "player_name", *columns)
+
+
 @query("c09_season_rows", "SELECT DISTINCT season_id, make_date(CAST(season_id AS INT), 2, 1) AS start_date, make_date(CAST(season_id AS INT), 5, 31) AS end_date, season_id = '2000' AS is_current FROM fx_games")
 def _(t):
     from fieldhouse.plans.reports import seasons
