@@ -156,17 +156,57 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()])
 
 
+#: What a (season, team) may be found in: bits of its presence.
+SEASON, PLAYS, HOME, FINAL, TOTALS, ROWS, LINKED, PLAYER_TOTALS, PLAYER_SEASON = (1 << i for i in range(9))
+
+
+def presence(t: dict[str, DataFrame]) -> DataFrame:
+    """All that the integrity checks ask, from one scan of each table and one aggregation of their tagged union: for teams of a
+    season (kind t) the bits of what they are found in, for matchups (m) their number, for games (g) their sides and the teams
+    of their player rows, a list as long as a game's roster."""
+    none = F.lit(None).cast("string")
+
+    def row(kind: str, season, key, bits=0, n=0, home=none, away=none, team=none):
+        return F.struct(F.lit(kind).alias("kind"), season.alias("season_id"), key.cast("string").alias("key"), F.lit(bits).cast("int").alias("bits") if isinstance(bits, int) else bits.cast("int").alias("bits"), F.lit(n).alias("n"), home.alias("home"), away.alias("away"), team.alias("team"))
+
+    c = F.col
+    final = F.when(c("status") == "final", FINAL).otherwise(0)
+    matchup = F.to_json(F.struct("home_team_id", "away_team_id", "game_date"))
+    of_games = t["games"].select(
+        F.inline(
+            F.array(
+                row("t", c("season_id"), c("home_team_id"), F.lit(PLAYS | HOME).bitwiseOR(final)),
+                row("t", c("season_id"), c("away_team_id"), F.lit(PLAYS).bitwiseOR(final)),
+                row("m", c("season_id"), matchup, n=1),
+                row("g", none, c("id"), home=c("home_team_id"), away=c("away_team_id")),
+            )
+        )
+    )
+    linked = F.when(c("player_id").isNotNull(), LINKED).otherwise(0)
+    of_stats = t["player_game_stats"].select(F.inline(F.array(row("t", c("season_id"), c("team_id"), F.lit(ROWS).bitwiseOR(linked)), row("g", none, c("game_id"), team=c("team_id")))))
+    parts = [of_games, of_stats]
+    for name, bit in (("team_seasons", SEASON), ("team_season_stats", TOTALS), ("player_season_stats", PLAYER_TOTALS), ("player_seasons", PLAYER_SEASON)):
+        parts.append(t[name].select(F.inline(F.array(row("t", c("season_id"), c("team_id"), bit)))))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("kind", "season_id", "key").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"), F.max("home").alias("home"), F.max("away").alias("away"), F.collect_list("team").alias("teams"))
+
+
 def integrity(tables: dict[str, DataFrame], season: str | None = None) -> DataFrame:
-    """Violations of each integrity check, in the whole or one season."""
+    """Violations of each integrity check, in the whole or one season, from one pass over the tables (`presence`). Games have a
+    home and an away team; a player row without a team strays nowhere."""
     t = {k: v.filter(F.col("season_id") == season) if season and "season_id" in v.columns else v for k, v in tables.items()}
-    keys = ["team_id", "season_id"]
-    checks = {
-        "duplicate matchups": duplicate_matchups(t["games"]),
-        "teams without games": teams_without_games(t["team_seasons"], t["games"]),
-        "teams without season stats": without(t["team_seasons"], t["team_season_stats"], keys),
-        "orphan home teams": orphan_home_teams(t["games"], t["team_seasons"]),
-        "finals without player rows": teams_without_stats(t["games"], t["player_game_stats"]),
-        "linked rows without seasons": linked_without_seasons(t["player_game_stats"], t["player_season_stats"], t["player_seasons"]),
-        "stray teams": stray_teams(t["player_game_stats"], t["games"]),
+    has = lambda *bits: (F.col("kind") == "t") & (F.col("bits").bitwiseAND(sum(bits)) == sum(bits))
+    lacks = lambda bit: F.col("bits").bitwiseAND(bit) == 0
+    one = lambda test: F.sum(test.cast("long"))
+    strays = F.size(F.filter("teams", lambda x: (x != F.col("home")) & (x != F.col("away"))))
+    counts = {
+        "duplicate matchups": one((F.col("kind") == "m") & (F.col("n") > 1)),
+        "teams without games": one(has(SEASON) & lacks(PLAYS)),
+        "teams without season stats": one(has(SEASON) & lacks(TOTALS)),
+        "orphan home teams": one(has(HOME) & lacks(SEASON)),
+        "finals without player rows": one(has(FINAL) & lacks(ROWS)),
+        "linked rows without seasons": one(has(LINKED) & lacks(PLAYER_TOTALS)) + one(has(LINKED) & lacks(PLAYER_SEASON)),
+        "stray teams": F.sum(F.when((F.col("kind") == "g") & F.col("home").isNotNull(), strays).otherwise(0)),
     }
-    return row_counts(checks).withColumnsRenamed({"table_name": "check_name", "n": "violations"})
+    summed = presence(t).agg(*[F.coalesce(x, F.lit(0)).cast("long").alias(n) for n, x in counts.items()])
+    return summed.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"`{n}`").alias("violations")) for n in counts])))

@@ -283,7 +283,7 @@ def _(t):
     early = _Games(t, t.games.withColumns({c: F.when(~late, F.col(c)) for c in ("home_score", "away_score")}))
     roster = t.players.select("team_id", F.col("id").alias("player_id"), "name", F.col("id").alias("ordinal"))
     for games in (early, t):
-        info_files(games).select("path", "value").write.mode("append").json(folder)
+        documents.pack(info_files(games), folder, "append")
         ingest.ingest(t.spark, folder, out, checkpoint, t.teams, roster, lambda tables: {}, ingest.packed(t.spark, folder))
     return Store(t.spark, out).read("games").select("id", "season_id", "division_id", "home_team_id", "away_team_id", "home_score", "away_score", "status", "game_date")
 

@@ -153,15 +153,46 @@ def _(t):
     return t.games.filter("status = 'scheduled'").select("id").join(failed, "id", "left_anti")
 
 
-_FINALS_ALONE = "SELECT 1 FROM d_sides d WHERE NOT EXISTS (SELECT 1 FROM d_stats s WHERE s.team_id = d.team_id AND s.season_id = d.season_id) GROUP BY d.team_id, d.season_id"
-_LINKED_ALONE = "SELECT DISTINCT team_id, season_id FROM d_linked WHERE (team_id, season_id) NOT IN (SELECT (team_id, season_id) FROM {})"
-
-
-@query("q_integrity", f"""
-SELECT 'duplicate matchups' AS check_name, (SELECT count(*) FROM (SELECT 1 FROM fx_games GROUP BY season_id, home_team_id, away_team_id, game_date HAVING count(*) > 1) x) AS violations
-UNION ALL SELECT 'finals without player rows', (SELECT count(*) FROM ({_FINALS_ALONE}) x)
-UNION ALL SELECT 'linked rows without seasons', (SELECT count(*) FROM ({_LINKED_ALONE.format('d_pss')}) x) + (SELECT count(*) FROM ({_LINKED_ALONE.format('d_pseasons')}) x)
-UNION ALL SELECT c, 0 FROM (SELECT unnest(['teams without games', 'teams without season stats', 'orphan home teams', 'stray teams']) AS c) y""")
-def _(t):
-    tables = {"games": t.games, "team_seasons": t.team_seasons, "team_season_stats": t.team_season_stats, "player_game_stats": t.stats, "player_season_stats": t.player_season_stats, "player_seasons": t.player_seasons}
-    return quality.integrity(tables)
+def _integrity_sql(games: str, seasons: str, totals: str, stats: str, player_totals: str, player_seasons: str) -> str:
+    """Violations of each check over these relations, each counted by itself."""
+    sides = f"(SELECT season_id, home_team_id AS team_id, status, id FROM {games} UNION ALL SELECT season_id, away_team_id, status, id FROM {games})"
+    teams = lambda rel, test="true": f"(SELECT DISTINCT team_id, season_id FROM {rel} WHERE {test})"
+    count = lambda left, right: f"(SELECT count(*) FROM {left} l WHERE NOT EXISTS (SELECT 1 FROM {right} r WHERE r.team_id = l.team_id AND r.season_id = l.season_id))"
+    linked = teams(stats, "player_id IS NOT NULL")
+    checks = {
+        "duplicate matchups": f"(SELECT count(*) FROM (SELECT 1 FROM {games} GROUP BY season_id, home_team_id, away_team_id, game_date HAVING count(*) > 1) x)",
+        "teams without games": count(teams(seasons), teams(sides)),
+        "teams without season stats": count(teams(seasons), teams(totals)),
+        "orphan home teams": count(f"(SELECT DISTINCT home_team_id AS team_id, season_id FROM {games})", teams(seasons)),
+        "finals without player rows": count(teams(sides, "status = 'final'"), teams(stats)),
+        "linked rows without seasons": f"{count(linked, teams(player_totals))} + {count(linked, teams(player_seasons))}",
+        "stray teams": f"(SELECT count(*) FROM {stats} s JOIN {games} g ON g.id = s.game_id WHERE s.team_id <> g.home_team_id AND s.team_id <> g.away_team_id)",
+    }
+    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, {x} AS violations" for n, x in checks.items())
+
+
+def _tables(t) -> dict:
+    return {"games": t.games, "team_seasons": t.team_seasons, "team_season_stats": t.team_season_stats, "player_game_stats": t.stats, "player_season_stats": t.player_season_stats, "player_seasons": t.player_seasons}
+
+
+@query("q_integrity", _integrity_sql("fx_games", "d_tseasons", "d_tss", "d_stats", "d_pss", "d_pseasons"))
+def _(t):
+    return quality.integrity(_tables(t))
+
+
+@query("q_integrity_violated", "WITH broken_games AS (SELECT id, season_id, home_team_id, CASE WHEN division_id = 2 THEN '0' ELSE away_team_id END AS away_team_id, game_date, status FROM fx_games), broken_seasons AS (SELECT team_id, season_id FROM d_tseasons WHERE team_id IN (SELECT id FROM fx_teams WHERE division_id < 3) UNION SELECT id, '2000' FROM fx_teams WHERE division_id = 1), broken_totals AS (SELECT * FROM d_tss WHERE wins > 0), broken_stats AS (SELECT * FROM d_stats WHERE goals > 3), broken_pss AS (SELECT * FROM d_pss WHERE goals > 20), broken_pseasons AS (SELECT * FROM d_pseasons WHERE primary_position = 'A') " + _integrity_sql("broken_games", "broken_seasons", "broken_totals", "broken_stats", "broken_pss", "broken_pseasons"))
+def _(t):
+    """Every check violated: teams that are not there, seasons without games, rows without their totals, sides that changed."""
+    made = _tables(t)
+    known = made["team_seasons"].join(t.teams.filter("division_id < 3").select(F.col("id").alias("team_id")), "team_id", "left_semi").select("team_id", "season_id")
+    idle = t.teams.filter("division_id = 1").select(F.col("id").alias("team_id"), F.lit("2000").alias("season_id"))
+    return quality.integrity(
+        {
+            "games": made["games"].withColumn("away_team_id", F.when(F.col("division_id") == 2, "0").otherwise(F.col("away_team_id"))),
+            "team_seasons": known.union(idle).distinct(),
+            "team_season_stats": made["team_season_stats"].filter("wins > 0"),
+            "player_game_stats": made["player_game_stats"].filter("goals > 3"),
+            "player_season_stats": made["player_season_stats"].filter("goals > 20"),
+            "player_seasons": made["player_seasons"].filter("primary_position = 'A'"),
+        }
+    )

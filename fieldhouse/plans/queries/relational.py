@@ -125,7 +125,7 @@ def _(t):
 
 @query("j01_dimension_join", "SELECT s.player_id, s.season_id, s.team_id, t.slug FROM d_pss s JOIN fx_teams t ON t.id = s.team_id")
 def _(t):
-    return t.player_season_stats.join(F.broadcast(t.teams.select(F.col("id").alias("team_id"), "slug")), "team_id").select("player_id", "season_id", "team_id", "slug")
+    return t.player_season_stats.join(t.teams.select(F.col("id").alias("team_id"), "slug"), "team_id").select("player_id", "season_id", "team_id", "slug")
 
 
 @query("j02_role_playing", "SELECT g.id, h.name AS home_team_name, a.name AS away_team_name FROM fx_games g LEFT JOIN fx_teams h ON h.id = g.home_team_id LEFT JOIN fx_teams a ON a.id = g.away_team_id")

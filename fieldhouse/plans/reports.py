@@ -33,12 +33,12 @@ def game_box_score(stats: DataFrame, game_id: str, mode: str = "points") -> Data
 
 
 def game_plays(plays: DataFrame, types: DataFrame, game_id: str | None = None) -> DataFrame:
-    return scoped(plays, game_id=game_id).join(F.broadcast(types.select(F.col("code").alias("play_type"), F.col("name").alias("type_name"), "category")), "play_type", "left").orderBy("game_id", "play_sequence")
+    return scoped(plays, game_id=game_id).join(types.select(F.col("code").alias("play_type"), F.col("name").alias("type_name"), "category"), "play_type", "left").orderBy("game_id", "play_sequence")
 
 
 def player_leaderboard(season_stats: DataFrame, teams: DataFrame, season_id=None, division_id=None) -> DataFrame:
     named = teams.select(F.col("id").alias("team_id"), F.col("short_name").alias("team_short_name"), "slug")
-    return scoped(season_stats, season_id=season_id, division_id=division_id).join(F.broadcast(named), "team_id").orderBy(F.desc("points"), "player_id", "team_id")
+    return scoped(season_stats, season_id=season_id, division_id=division_id).join(named, "team_id").orderBy(F.desc("points"), "player_id", "team_id")
 
 
 def player_detail(players: DataFrame, player_id: int) -> DataFrame:
@@ -51,7 +51,7 @@ def player_season_rows(season_stats: DataFrame, teams: DataFrame, player_id: int
 
 def player_game_log(stats: DataFrame, games: DataFrame, teams: DataFrame, player_id: int | None = None) -> DataFrame:
     g = games.select(F.col("id").alias("game_id"), "game_date", "home_team_id", "away_team_id", "home_score", "away_score")
-    named = lambda s: F.broadcast(teams.select(F.col("id").alias(f"{s}_team_id"), F.col("short_name").alias(f"{s}_name")))
+    named = lambda s: teams.select(F.col("id").alias(f"{s}_team_id"), F.col("short_name").alias(f"{s}_name"))
     rows = scoped(stats, player_id=player_id).filter("player_id is not null").drop("opponent_id").join(g, "game_id").join(named("home"), "home_team_id", "left").join(named("away"), "away_team_id", "left")
     opponent = F.when(F.col("team_id") == F.col("home_team_id"), F.col("away_name")).otherwise(F.col("home_name"))
     return rows.withColumn("opponent", opponent).orderBy("player_id", "game_date", "game_id")
@@ -59,7 +59,7 @@ def player_game_log(stats: DataFrame, games: DataFrame, teams: DataFrame, player
 
 def rankings(ranked: DataFrame, teams: DataFrame, season_id=None, division_id=None) -> DataFrame:
     named = teams.select(F.col("id").alias("team_id"), "name", "slug", F.col("division_id"))
-    rows = scoped(ranked.drop("division_id").join(F.broadcast(named), "team_id"), season_id=season_id, division_id=division_id)
+    rows = scoped(ranked.drop("division_id").join(named, "team_id"), season_id=season_id, division_id=division_id)
     return with_rank(rows, ["season_id", "division_id"]).orderBy("season_id", "division_id", "rank")
 
 
@@ -77,7 +77,7 @@ def resolve_season(rows: DataFrame, asked: str | None = None, division: int | No
 
 
 def teams_for_season(teams: DataFrame, team_seasons: DataFrame, season_stats: DataFrame, season_id=None, division_id=None) -> DataFrame:
-    rows = scoped(team_seasons, season_id=season_id).join(F.broadcast(scoped(teams, division_id=division_id).select(F.col("id").alias("team_id"), "short_name", "slug", F.col("division_id"))), "team_id")
+    rows = scoped(team_seasons, season_id=season_id).join(scoped(teams, division_id=division_id).select(F.col("id").alias("team_id"), "short_name", "slug", F.col("division_id")), "team_id")
     record = season_stats.select("team_id", "season_id", "wins", "losses")
     return rows.join(record, ["team_id", "season_id"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("wins", "losses")}).orderBy("season_id", "team_name", "team_id")
 
@@ -98,7 +98,7 @@ def team_schedule(games: DataFrame, teams: DataFrame, team_id: str, season_id: s
     first = Window.partitionBy("ncaa_game_id")
     rows = scoped(games.filter("ncaa_game_id is not null").withColumn("first_id", F.min("id").over(first)).filter("id = first_id"), season_id=season_id)
     own = rows.filter((F.col("home_team_id") == team_id) | (F.col("away_team_id") == team_id))
-    return perspective(own, team_id).join(F.broadcast(teams.select(F.col("id").alias("opponent_id"), F.col("short_name").alias("opponent"))), "opponent_id", "left").orderBy("game_date", "id")
+    return perspective(own, team_id).join(teams.select(F.col("id").alias("opponent_id"), F.col("short_name").alias("opponent")), "opponent_id", "left").orderBy("game_date", "id")
 
 
 def perspective(games: DataFrame, team_id: str) -> DataFrame:
@@ -140,7 +140,7 @@ def top_scorers(season_stats: DataFrame, season_id: str, most: int = 50) -> Data
 
 def team_standings(games: DataFrame, teams: DataFrame, season_id: str | None = None) -> DataFrame:
     """Records with the place by wins, fewer losses, goal difference."""
-    rows = scoped(team_record(games), season_id=season_id).join(F.broadcast(teams.select(F.col("id").alias("team_id"), "short_name")), "team_id", "left")
+    rows = scoped(team_record(games), season_id=season_id).join(teams.select(F.col("id").alias("team_id"), "short_name"), "team_id", "left")
     order = Window.partitionBy("season_id").orderBy(F.desc("wins"), "losses", F.desc(F.col("goals_for") - F.col("goals_against")), "team_id")
     return rows.withColumn("place", F.row_number().over(order))
 

@@ -27,15 +27,37 @@ def files(spark: SparkSession, base: str, season: str | None = None, division: i
     return _chosen(raw, season, division)
 
 
-def packed(spark: SparkSession, folder: str, season: str | None = None, division: int | None = None) -> DataFrame:
-    """The same from a packed landing folder: JSON lines that hold a file's path and its text. Millions of small files are
-    a burden to any file system; a landing job packs them."""
-    return _chosen(spark.read.schema("path string, value string").json(folder), season, division)
+LANDED = "path string, value string, season_id string, kind string"
 
 
-def pack(found: DataFrame, folder: str) -> None:
-    """Writes (path, value) rows as a packed landing folder."""
-    found.select("path", "value").write.json(folder)
+def packed(spark: SparkSession, folder: str, season: str | None = None, division: int | None = None, kind: str | None = None) -> DataFrame:
+    """The same from a packed landing folder: JSON lines that hold a file's path and its text, in folders by season and kind.
+    Millions of small files are a burden to any file system; a landing job packs them. Only the folders of the season and
+    kind that are asked for are read."""
+    rows = spark.read.schema(LANDED).json(folder)
+    if season is not None:
+        rows = rows.filter(F.col("season_id") == season)
+    if kind is not None:
+        rows = rows.filter(F.col("kind") == kind)
+    return _chosen(rows, season, division)
+
+
+def pack(found: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Writes (path, value) rows as a packed landing folder, or adds them to one (mode "append"). Rows of a season and kind go to
+    one task's file where they can (the optimiser splits large ones), so landing many small batches leaves a file for each."""
+    keys = keyed(found).select("path", F.col("body").alias("value"), "season_id", "kind")
+    keys.repartition("season_id", "kind", F.pmod(F.xxhash64("path"), F.lit(8))).write.mode(mode).partitionBy("season_id", "kind").json(folder)
+
+
+def compacted(spark: SparkSession, folder: str, into: str, file_bytes: int = 128 << 20) -> int:
+    """Rewrites a packed folder with files of about file_bytes, whatever many small ones it has; returns the files saved. The
+    new folder is whole before its name is given to readers."""
+    rows = spark.read.schema(LANDED).json(folder)
+    counted = lambda path: len(spark.read.schema(LANDED).json(path).inputFiles())
+    sizes = rows.groupBy("season_id", "kind").agg(F.ceil(F.sum(F.octet_length("value") + F.octet_length("path")) / file_bytes).cast("int").alias("files"))
+    spread = rows.join(sizes, ["season_id", "kind"]).withColumn("file", F.pmod(F.xxhash64("path"), F.col("files")))
+    spread.repartition("season_id", "kind", "file").drop("file", "files").write.partitionBy("season_id", "kind").json(into)
+    return counted(folder) - counted(into)
 
 
 def keyed(raw: DataFrame) -> DataFrame:

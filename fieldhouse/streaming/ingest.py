@@ -79,7 +79,7 @@ def files(spark: SparkSession, base: str, pattern: str = "*.json") -> DataFrame:
 
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     """The same over a packed landing folder, to which landing jobs add files."""
-    return spark.readStream.schema("path string, value string").json(folder)
+    return spark.readStream.schema(documents.LANDED).json(folder).select("value", "path")
 
 
 def _run(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> None:

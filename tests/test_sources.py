@@ -135,3 +135,19 @@ def test_season_replace_and_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["id", "more"]
     documents.write_json(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_packed_landing_is_read_by_season_and_compacted(spark, base, tmp_path):
+    land(base, "2024", "games", "game_50_info.json", {"gameId": "50", "homeTeamId": "1", "awayTeamId": "2", "homeScore": 1, "awayScore": 9, "gameDate": "03/01/2024"})
+    found, folder = documents.files(spark, str(base)).select("path", "body").withColumnRenamed("body", "value"), str(tmp_path / "packed")
+    for part in (found.filter("path like '%/2024/%'"), found.filter("path like '%_info.json' and path like '%/2025/%'"), found.filter("path like '%/2025/%' and path not like '%_info.json'")):
+        documents.pack(part, folder, "append")
+    rows = lambda df: sorted((r["path"].rsplit("/", 1)[1], r["season_id"], r["kind"], r["body"]) for r in df.collect())
+    whole = rows(documents.files(spark, str(base)))
+    one = documents.packed(spark, folder, season="2025", kind="info")
+    assert rows(documents.packed(spark, folder)) == whole and rows(one) == [r for r in whole if r[1:3] == ("2025", "info")]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "season_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert all("season_id=2025/kind=info" in f for f in spark.read.json(folder).filter("season_id = 2025 and kind = 'info'").select("path", "_metadata.file_path").toPandas()["file_path"])
+    saved = documents.compacted(spark, folder, str(tmp_path / "compact"))
+    assert saved >= 0 and rows(documents.packed(spark, str(tmp_path / "compact"))) == whole
