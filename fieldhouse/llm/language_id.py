@@ -2,9 +2,9 @@
 
 A text is lower-cased; its features are the 1- to 4-byte substrings of its letters (other characters become one space),
 hashed to BUCKETS. The document vector is the mean of its features' embeddings; a linear layer and a softmax give the
-languages' probabilities. Labels are counted over all rows: the `most_languages` most frequent ones are learned. The model
-is fitted on a bounded sample of the labelled documents (`most_rows`, and at least `least_rows` of each language, drawn by
-a hash, whole texts); their features are counted on the executors. A fifth of the sample is kept back to calibrate:
+languages' probabilities. Labels are counted over all rows, and every language is learned. The model is fitted on a bounded
+sample of the labelled documents (`most_rows`, and at least `least_rows` of each language, so `least_rows` times the
+number of languages where that is more; drawn by a hash, whole texts); their features are counted on the executors. A fifth of the sample is kept back to calibrate:
 the temperature that minimises its log loss scales the scores, and the score below which a prediction is `rejected` is
 the least that still gives the wanted precision there.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fieldhouse.llm.util import chunks, small_batches
 
 BUCKETS, DIMENSION, SIZES = 1 << 14, 16, (1, 2, 3, 4)
-MOST_ROWS, LEAST_ROWS, MOST_LANGUAGES, EPOCHS, LEAST_STEPS, RATE, BATCH, PRECISION = 3000, 60, 200, 12, 500, 2.0, 64, 0.98
+MOST_ROWS, LEAST_ROWS, EPOCHS, LEAST_STEPS, RATE, BATCH, PRECISION = 3000, 60, 12, 500, 2.0, 64, 0.98
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -55,10 +55,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found), np.concatenate(owners)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
 
 
-def _sampled(labelled: DataFrame, most_rows: int, least_rows: int, most_languages: int) -> list:
+def _sampled(labelled: DataFrame, most_rows: int, least_rows: int) -> list:
     """Feature counts of about most_rows labelled documents, drawn by a hash in each language: its share of them, or
     least_rows where that is more (all of its documents if it has fewer)."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row for each language
     if not sizes:
         return []
     total = sum(r["n"] for r in sizes)
@@ -102,9 +102,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, seed: int = 7, least_rows: int = LEAST_ROWS, most_languages: int = MOST_LANGUAGES) -> Model | None:
+def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, seed: int = 7, least_rows: int = LEAST_ROWS) -> Model | None:
     """A model of the labelled documents (doc_id, text, lang not null); None if there are none."""
-    rows = _sampled(labelled, most_rows, least_rows, most_languages)
+    rows = _sampled(labelled, most_rows, least_rows)
     rows = [r for r in rows if len(r["at"])]
     if not rows:
         return None

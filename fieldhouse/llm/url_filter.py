@@ -2,10 +2,12 @@
 
 The trees are fitted by Spark's own learner from labelled urls (label 1: block) on a bounded, hash-drawn sample of them
 (`most_rows`); scoring is a DataFrame transformation. A fifth of the sample is held out: on it the probability is chosen
-from which urls are blocked, as the one that judges most of them rightly; where never to block is as good, nothing is
-blocked (`Figures` has precision and recall). Features: lengths, depth, digit ratio, entropy of the characters,
-numbers of parameters, hyphens and host labels, and for the host's last two labels how often and how often blocked they
-are in the sample, smoothed. That suffix table has at most `most_rows` rows, so it is broadcast.
+from which urls are blocked, as the one of least cost, a url that is missed costing MISSED times one that is blocked wrongly;
+where never to block is as cheap, nothing is blocked (`Figures` has precision, recall and the area under the curve).
+Features: lengths, depth, digit ratio, entropy of the characters, numbers of parameters, hyphens and host labels, and
+for the host's last two labels how often and how often blocked they are in the sample, smoothed; a url that trees are
+fitted on takes these from the other folds, never from its own label. That suffix table has at most `most_rows` rows, so it
+is broadcast.
 
 Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: then up to "?", "#" or the end. Null
 urls and urls without "://" have an empty host and path and fit no rule. Of fitting rules the longest wins. Without
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldhouse.llm.util import written
@@ -27,6 +29,8 @@ RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 MOST_ROWS, TREES, DEPTH, SEED = 20_000, 10, 3, 11
 #: Bins of probability in which held-out urls are counted; rows of a partition while trees are fitted.
 BINS, PART_ROWS = 50, 5000
+#: What a missed url costs, a wrongly blocked one being 1; folds of the suffix statistics.
+MISSED, FOLDS = 2, 5
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_labels", "suffix_rows", "suffix_rate"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -81,8 +85,12 @@ def _weight(n: F.Column) -> F.Column:
     return F.when(n > 1, n * F.log(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _with_suffixes(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
-    joined = rows.join(F.broadcast(suffixes), "suffix", "left")
+def _rates(counts: DataFrame, *more: str) -> DataFrame:
+    return counts.select("suffix", *more, F.log1p("n").alias("suffix_rows"), ((F.col("bad") + 1) / (F.col("n") + 2)).alias("suffix_rate"))
+
+
+def _with_suffixes(rows: DataFrame, suffixes: DataFrame, *more: str) -> DataFrame:
+    joined = rows.join(F.broadcast(suffixes), ["suffix", *more], "left")
     return joined.withColumns({"suffix_rows": F.coalesce("suffix_rows", F.lit(0.0)), "suffix_rate": F.coalesce("suffix_rate", F.lit(0.5))})
 
 
@@ -97,13 +105,15 @@ def sampled(labelled: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
 @dataclass
 class Figures:
     """What the held-out urls show: their number, how many are to be blocked, the probability from which urls are blocked (1
-    and more: never), and precision and recall there."""
+    and more: never), precision and recall there, and the area under the curve of the probabilities (urls of one bin count
+    half)."""
 
     rows: int
     positives: int
     threshold: float
     precision: float
     recall: float
+    area: float
 
 
 class Trees:
@@ -124,9 +134,13 @@ class Trees:
         self.model = None
         if len(counts) < 2:
             return
-        self.suffixes = written(fitted.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_rows"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate")), "suffixes")
+        fold = F.pmod(F.xxhash64("url", F.lit(SEED + 1)), F.lit(FOLDS))
+        by_fold = fitted.groupBy("suffix", fold.alias("fold")).agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+        self.suffixes = written(_rates(by_fold.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))), "suffixes")
+        every = Window.partitionBy("suffix")
+        others = _rates(by_fold.select("suffix", "fold", (F.sum("n").over(every) - F.col("n")).alias("n"), (F.sum("bad").over(every) - F.col("bad")).alias("bad")), "fold")
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = self.assembler.transform(_with_suffixes(fitted, self.suffixes)).select("features", "label").coalesce(max(1, sum(counts.values()) // PART_ROWS))
+        train = self.assembler.transform(_with_suffixes(fitted.withColumn("fold", fold), others, "fold")).select("features", "label").coalesce(max(1, sum(counts.values()) // PART_ROWS))
         self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(train)
         judged = self.scored(known.filter(held)).withColumn("bin", F.floor(F.col("p") * BINS).cast("int"))
         bins = judged.groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("bad")).collect()  # BINS rows at most
@@ -140,33 +154,36 @@ class Trees:
         return out.withColumn("p", vector_to_array("probability")[1])
 
 
-def chosen(bins: dict[int, tuple[int, int]]) -> Figures:
-    """The threshold at which most held-out urls are judged rightly, from (urls, to be blocked) by bin of probability. Where
-    nothing is better than never to block, nothing is blocked."""
+def chosen(bins: dict[int, tuple[int, int]], missed: float = MISSED) -> Figures:
+    """The threshold of least cost on held-out urls, from (urls, to be blocked) by bin of probability."""
     rows, bad = sum(n for n, _ in bins.values()), sum(b for _, b in bins.values())
-    best, right = Figures(rows, bad, 1.0 + 1 / BINS, 0.0, 0.0), rows - bad
+    best, cost, area = Figures(rows, bad, 1.0 + 1 / BINS, 0.0, 0.0, 0.5), missed * bad, 0.0
     n = hits = 0
     for k in sorted(bins, reverse=True):
+        area += (bins[k][0] - bins[k][1]) * (hits + bins[k][1] / 2)
         n, hits = n + bins[k][0], hits + bins[k][1]
-        if rows - bad - (n - hits) + hits > right:
-            best, right = Figures(rows, bad, k / BINS, hits / n, hits / bad), rows - bad - (n - hits) + hits
+        if missed * (bad - hits) + n - hits < cost:
+            best, cost = Figures(rows, bad, k / BINS, hits / n, hits / bad, 0.5), missed * (bad - hits) + n - hits
+    if 0 < bad < rows:
+        best.area = area / (bad * (rows - bad))
     return best
 
 
 def predicted(urls: DataFrame, labelled: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """urls (with url, host, path) and the trees' verdict in `learned`; labelled: (url, label 0 or 1)."""
+    """urls (with url, host, path) with p, the trees' probability to block, and their verdict in `learned`; labelled: (url,
+    label 0 or 1). Without trees p is null."""
     trees = Trees(labelled, most_rows)
     if trees.model is None:
-        return urls.withColumn("learned", F.lit(trees.constant))
-    return trees.scored(lexical(urls)).select(*urls.columns, F.when(F.col("p") >= trees.figures.threshold, "block").otherwise("allow").alias("learned"))
+        return urls.withColumns({"p": F.lit(None).cast("double"), "learned": F.lit(trees.constant)})
+    return trees.scored(lexical(urls)).select(*urls.columns, "p", F.when(F.col("p") >= trees.figures.threshold, "block").otherwise("allow").alias("learned"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = RULES, most_rows: int = MOST_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict of every url."""
+    """page_id, host, path, rule, verdict of every url, with the trees' verdict and probability."""
     host, path = split_url(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
     done = predicted(urls.withColumn("fit", fitting(F.col("host"), F.col("path"), rules)), labelled, most_rows)
-    return done.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "learned").alias("verdict"), "learned")
+    return done.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "learned").alias("verdict"), "learned", "p")
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

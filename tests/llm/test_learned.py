@@ -121,3 +121,14 @@ def test_op9_learns_rare_languages(spark):
     assert model.languages == ["aa", "zz"]
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
     assert sum(got[r[0]] == r[2] for r in rows) > 0.99 * len(rows) and sum(got[5000 + i] == "zz" for i in range(30)) >= 29
+
+
+def test_op9_learns_every_language(spark):
+    """More languages than any list of frequent ones would hold: each is learned from its own letters."""
+    import random
+
+    pick = random.Random(5)
+    words = {f"l{k:03d}": ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for k in range(230)}
+    rows = [(i * 4 + 1, " ".join(pick.choices(own, k=12)), lang) for i, (lang, own) in enumerate((a, b) for a, b in words.items() for _ in range(3))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=700, least_rows=2)
+    assert sorted(model.languages) == sorted(words)

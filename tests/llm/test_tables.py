@@ -59,7 +59,7 @@ def test_op1_trees_of_no_use_block_nothing(spark):
     plain = spark.createDataFrame([(f"http://a{i}.org/p", 0) for i in range(200)] + [(f"http://b{i}.info/{i}/x?a={i}", 1) for i in range(100)], "url string, label int")
     found = url_filter.Trees(plain).figures
     assert found.precision > 0.95 and found.recall > 0.95
-    assert url_filter.chosen({9: (10, 8), 5: (10, 6), 1: (30, 3)}) == url_filter.Figures(50, 17, 5 / url_filter.BINS, 0.7, 14 / 17)
+    assert url_filter.chosen({9: (10, 8), 5: (10, 6), 1: (30, 3)}) == url_filter.Figures(50, 17, 5 / url_filter.BINS, 0.7, 14 / 17, (2 * 4 + 4 * 11 + 27 * 15.5) / (17 * 33))
 
 
 def test_op1_labels_reach_all_forms_of_urls(spark):
