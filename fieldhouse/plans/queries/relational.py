@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from fieldhouse.operators import enrich, grid, load
+from fieldhouse.operators import enrich, grid, load, search
 from fieldhouse.plans import reports
 from fieldhouse.registry import query
+from fieldhouse.storage import new_folder
 
 _G = "id, season_id, home_team_id, away_team_id, home_score, away_score, status"
 _g = _G.split(", ")
@@ -35,6 +36,18 @@ def _(t):
     return t.teams.filter(F.col("name").ilike("%eam 1%")).select("id", "name")
 
 
+@query("f05_indexed_search", "SELECT 'player' AS kind, CAST(id AS VARCHAR) AS id, name FROM fx_players WHERE name ILIKE '%ank%oo%' UNION ALL SELECT 'team', id, name FROM fx_teams WHERE name ILIKE '%eam 1_3%'")
+def _(t):
+    """Names found through stored postings, with wild characters between the fixed parts."""
+    out = None
+    for kind, names, q in (("player", t.players, "ANK%oo"), ("team", t.teams, "eam 1_3")):
+        folder = new_folder(t.spark, f"{kind}-names")
+        search.build(names.select("id", "name"), folder)
+        rows = search.find(t.spark, folder, q).select(F.lit(kind).alias("kind"), "id", "name")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("f06_regex_label", "SELECT id, CASE WHEN regexp_matches(id, '^4') THEN 'stats' ELSE 'feed' END AS source FROM fx_teams")
 def _(t):
     return t.teams.select("id", F.when(F.col("id").rlike("^4"), "stats").otherwise("feed").alias("source"))
