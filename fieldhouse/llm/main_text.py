@@ -11,8 +11,9 @@ Where a page marks its article (`article`, `main`, or that role), lines elsewher
 surge, so nothing of a marked article is dropped; of several articles those with a surge above SURGE are kept. Where no
 block surges, the lines around the largest block are kept.
 
-A header inside an article is the article's heading and stays unless it is a menu. Elements that are never closed end at
-the next container tag. Null html is empty; a page without text gives an empty text. Repeated rows and page_ids are pages
+A header inside an article is the article's heading and stays unless it is a menu. What holds the article or a main heading
+is no menu or notice whatever its class says, nor a form. Containers that are never closed end at the next container tag,
+other elements at the next block. Null html is empty; a page without text gives an empty text. Repeated rows and page_ids are pages
 of their own; no row meets another, so very long pages or empty tables need nothing special. Other columns are ignored.
 """
 
@@ -108,6 +109,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, int]], bool]:
     marks = [0]  # articles and main headings before each tag: what holds one is no menu, whatever its class says
     for _, name, _, closing, _ in tags:
         marks.append(marks[-1] + (not closing and name in ("article", "main", "h1")))
+    last_close = {name: k for k, (_, name, _, closing, _) in enumerate(tags) if closing}
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     own = links = articles = 0
@@ -144,7 +146,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, int]], bool]:
                     skip_name = ""
                     if closing:
                         continue
-            elif name in CONTAINERS or (name in BLOCKS and skip_name == "p"):
+            elif name in CONTAINERS or (name in BLOCKS and (skip_name == "p" or last_close.get(skip_name, -1) < k)):
                 skip_name = ""
             if skip_name:
                 continue
@@ -173,7 +175,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, int]], bool]:
                     end = next((j for j in range(k + 1, len(tags)) if tags[j][1] in CONTAINERS), len(tags) - 1)
                     skip_name, skip_depth = ("", 0) if end == k + 1 else (name, 1)
                     empty()
-                elif name in OTHER or marks[end] == marks[k + 1]:
+                elif (name in OTHER and name != "form") or marks[end] == marks[k + 1]:
                     skip_end = end
                     empty()
             else:

@@ -194,6 +194,9 @@ PAGES = [
     (page(f"<article><p>{LONG}</p></article><aside><article><p>Teaser</p></article></aside><article class='teaser'><p>Other</p></article>"), LONG),
     (page(f"<div class='main-with-sidebar'><article><p>{LONG} a < b</p><!-- no <p>no</p> --></article></div>"), f"{LONG} a < b"),
     (f"<article><p>{LONG}</p><p>a < b</p><p>cut <a href='/x", f"{LONG}\n\na < b\n\ncut"),
+    (page(f"<form action='/x'><div class='share-on'><h1>Head</h1><p>{LONG}</p></div><input></form>"), f"Head\n\n{LONG}"),
+    (page(f"<article><p>{LONG}</p><span class='ad'>Buy<p>Er.</p></article>"), f"{LONG}\n\nEr."),
+    (page("<article><p>Er.</p><p>End <span class='ad'>Buy.</span> here.</p></article>"), "Er.\n\nEnd here."),
     (page("<article><p>Short.</p><div style='display:none'>Hidden</div><p hidden>Gone</p><p>Seen.</p></article>"), "Short.\n\nSeen."),
 ]
 
