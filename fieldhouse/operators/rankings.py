@@ -223,9 +223,8 @@ def _simulator(by: list[str], n_sims: int, seed: int, block: int):
     import pandas as pd
 
     drawn: dict = {}
-    sims = range(n_sims)
 
-    def draws(kind: str, group: str, name: str) -> np.ndarray:
+    def draws(kind: str, group: str, name: str, sims: range) -> np.ndarray:
         """Numbers of one name in all simulations, as `normal` or `uniform` give them; remembered for the current group key."""
         from hashlib import md5
 
@@ -238,7 +237,6 @@ def _simulator(by: list[str], n_sims: int, seed: int, block: int):
         return drawn[kind, name]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nonlocal sims
         begins = int(pdf["block"].iloc[0]) * block
         sims = range(begins, min(begins + block, n_sims))
         none = pd.DataFrame({c: pd.Series([], dtype=object) for c in (*by, "team_id", "millionths")})
@@ -259,8 +257,8 @@ def _simulator(by: list[str], n_sims: int, seed: int, block: int):
         mu, spread = (mu0 + total / 16.0) / precision, np.sqrt(1 / precision)
         group = str(pdf[by[0]].iloc[0])
         lh, la = (left[c].map(at).to_numpy() for c in ("h", "a"))
-        strength = lambda x: mu[x] + spread[x] * draws("normal", group, names[x])
-        home = np.stack([draws("g", group, i) < 1 / (1 + np.exp(-0.4 * (strength(x) - strength(y)))) for i, x, y in zip(left["id"], lh, la)])
+        strength = lambda x: mu[x] + spread[x] * draws("normal", group, names[x], sims)
+        home = np.stack([draws("g", group, i, sims) < 1 / (1 + np.exp(-0.4 * (strength(x) - strength(y)))) for i, x, y in zip(left["id"], lh, la)])
         # edges (team, opponent), sorted by team: actual games, wins and losses; then what each simulation adds
         t, o = np.concatenate([h, a, lh, la]), np.concatenate([a, h, la, lh])
         edge, where = np.unique(t * size + o, return_inverse=True)

@@ -6,6 +6,7 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldhouse import registry
 from fieldhouse.operators import load, names, rankings
@@ -72,6 +73,13 @@ def test_large_groups_are_rated_and_simulated_alike(spark):
     assert one == two and {r[0] for r in one} == {"2024", "2025"}
 
 
+def test_blocks_of_simulations_give_the_same_bands(spark):
+    games = _small_league(spark)
+    finals, left = games.filter("home_score is not null"), games.limit(3).selectExpr("*").withColumn("status", F.lit("scheduled"))
+    bands = [sorted(map(tuple, rankings.project_rpi(finals, left, n_sims=20, block=b).collect())) for b in (1, 7, 20, 63)]
+    assert bands[0] == bands[1] == bands[2] == bands[3] and len(bands[0]) > 2
+
+
 def test_upsert_is_idempotent_and_latches(spark):
     schema = "id string, home_score int, away_score int, status string"
     old = spark.createDataFrame([("1", 3, 2, "final"), ("2", None, None, "scheduled")], schema)
