@@ -21,22 +21,22 @@ SHA-256 are taken as equal.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldhouse.llm.util import small_batches, trimmed, written
+from fieldhouse.llm.util import byte_values, small_batches, trimmed, written
 
 #: Documents of its language that a kept term has at least; added to each count; the whole of p; terms reported for a group.
 LEAST, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Sums that a task holds at a time.
 MOST_HELD = 300_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS, _LOWER = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), str.maketrans(UPPER, LOWER)
+#: Bytes of words as they count, a space for each byte between words.
+_AS_WORDS = bytes(b if b > 0x7F or chr(b) in LOWER else ord(LOWER[b - 65]) if chr(b) in UPPER else 32 for b in range(256))
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
@@ -50,34 +50,58 @@ def collapsed(docs: DataFrame) -> DataFrame:
     return texts.join(copies, ["lang", "digest"]).select("lang", "text", "copies")
 
 
-class _Tally(dict):
-    """(lang, source, term) -> occurrences, documents."""
+def words_of(text: bytes) -> list[bytes]:
+    """The terms of a text in UTF-8: every byte above 0x7F belongs to a word, so all of it can be done on bytes."""
+    return text.translate(_AS_WORDS).split()
 
-    def add(self, lang: str, text: str, copies: list[dict]) -> None:
-        words = Counter(_WORDS.findall(text.translate(_LOWER)))
-        for copy in copies:
-            source, n = copy["source"], copy["n"]
-            for term, times in words.items():
-                found = self.get((lang, source, term))
-                if found is None:
-                    self[lang, source, term] = [times * n, n]
-                else:
-                    found[0] += times * n
-                    found[1] += n
+
+class _Tally:
+    """Occurrences by (lang, source) and term, documents by lang and term."""
+
+    def __init__(self) -> None:
+        self.occurrences: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        self.documents: dict[str, Counter] = defaultdict(Counter)
+        self.held = 0
+
+    def add(self, lang: str, text: bytes, copies: list[dict]) -> None:
+        words = words_of(text)
+        groups = [(self.occurrences[lang, copy["source"]], copy["n"]) for copy in copies]
+        before = sum(len(own) for own, _ in groups)
+        documents, times = self.documents[lang], sum(n for _, n in groups)
+        if times == 1:
+            groups[0][0].update(words)
+            documents.update(set(words))
+        else:
+            found = Counter(words)
+            for term, count in found.items():
+                documents[term] = documents.get(term, 0) + times
+                for own, n in groups:
+                    own[term] = own.get(term, 0) + count * n
+        self.held += sum(len(own) for own, _ in groups) - before
 
     def flushed(self) -> pa.RecordBatch:
-        keys = list(zip(*self)) or [(), (), ()]
-        numbers = list(zip(*self.values())) or [(), ()]
-        self.clear()
-        return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), *(pa.array(n, pa.int64()) for n in numbers)], ["lang", "source", "term", "count", "docs"])
+        """A row for each sum. The documents of a term stand in one of its language's rows."""
+        langs, sources, terms, counts, docs = [], [], [], [], []
+        for (lang, source), own in self.occurrences.items():
+            langs += [lang] * len(own)
+            sources += [source] * len(own)
+            terms += own
+            counts += own.values()
+            left = self.documents[lang].pop
+            docs += [left(term, 0) for term in own]
+        self.occurrences.clear()
+        self.documents.clear()
+        self.held = 0
+        columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(docs, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = _Tally()
     for batch in batches:
-        for lang, text, copies in zip(*(c.to_pylist() for c in batch.columns)):
+        for lang, text, copies in zip(batch.column("lang").to_pylist(), byte_values(batch.column("text")), batch.column("copies").to_pylist()):
             tally.add(lang, text, copies)
-            if len(tally) >= MOST_HELD:
+            if tally.held >= MOST_HELD:
                 yield tally.flushed()
     yield tally.flushed()
 

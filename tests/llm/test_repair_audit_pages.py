@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -9,6 +10,7 @@ from hashlib import sha256
 from html.parser import HTMLParser
 from itertools import product
 
+import pyarrow as pa
 import pytest
 
 from fieldhouse.llm import divergence, main_text, turn_repair
@@ -176,6 +178,52 @@ def test_op12_collapses_copies_and_takes_empty_tables(spark):
     assert divergence.contract(table.filter("false")).count() == 0
 
 
+def test_op12_takes_no_python_step_for_each_word():
+    """200 texts of the same 300 words, in other orders: the lines of Python that run grow with texts and sums, not with the
+    60,000 words."""
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmno"]
+    texts = [" ".join(words[k:] + words[:k]) for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 200), pa.array(texts), pa.array([[{"source": "s", "n": 1}]] * 200)], ["lang", "text", "copies"])
+    steps = 0
+
+    def traced(frame, event, arg):
+        nonlocal steps
+        steps += event == "line" and frame.f_code.co_filename == divergence.__file__
+        return traced
+
+    before = sys.gettrace()
+    sys.settrace(traced)
+    try:
+        out = list(divergence._tallied(iter([batch])))
+    finally:
+        sys.settrace(before)
+    sums = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert sorted(sums) == sorted(("en", "s", w, 200, 200) for w in words)
+    assert steps < 10_000
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_op12_tallies_words_of_every_character(monkeypatch, most):
+    """Characters of every kind, copies of several sources, and sums that are passed on before the end."""
+    monkeypatch.setattr(divergence, "MOST_HELD", most)
+    signs = [chr(k) for k in range(256)] + ["\u0130", "\u212a", "\u2028", "\u3000", "\uffff", "\U0001f600"]
+    texts = ["", "".join(signs), "".join(f"a{c}B" for c in signs), " ".join(f"Z{c} z{c}" for c in signs)]
+    copies = [[{"source": "s", "n": 1}], [{"source": "s", "n": 1}, {"source": "t", "n": 3}], [{"source": "t", "n": 2}], [{"source": "", "n": 1}, {"source": "s", "n": 1}]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "en", "en", ""]), pa.array(texts), pa.array(copies)], ["lang", "text", "copies"])
+    counts, docs = Counter(), Counter()
+    for lang, text, found in zip(["en", "en", "en", ""], texts, copies):
+        for copy in found:
+            for w, times in Counter(words_of(text)).items():
+                counts[lang, copy["source"], w] += times * copy["n"]
+                docs[lang, w] += copy["n"]
+    for_groups, for_langs = Counter(), Counter()
+    for b in divergence._tallied(iter([batch])):
+        for r in b.to_pylist():
+            for_groups[r["lang"], r["source"], r["term"]] += r["count"]
+            for_langs[r["lang"], r["term"]] += r["docs"]
+    assert for_groups == counts and for_langs == docs
+
+
 def page(body):
     return f'<!DOCTYPE html><html><head><title>No</title><style>p{{margin:0}}</style><script>var t="<p>no</p>";</script></head><body class="with-sidebar">{body}</body></html>'
 
