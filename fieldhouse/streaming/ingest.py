@@ -38,26 +38,31 @@ def _merged(batch: Batch, name: str, new: DataFrame, seasons: list[str], merge:
 def changed_files(lines: DataFrame) -> DataFrame:
     """Of a stream of (value, path) files those whose body is not that of the last file of the same game and kind. Each game's
     state is one digest."""
-    import hashlib
-
-    import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     keys = ["season_id", "division_id", "source", "kind", "game_id"]
+    keyed = documents.keyed(lines)
+    return keyed.groupBy(*keys).applyInPandasWithState(_fresh, "path string, value string", "digest string", "append", GroupStateTimeout.NoTimeout)
 
-    def fresh(_, parts, state):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(parts).sort_values("path", kind="stable")
-        kept = []
-        for body in rows["body"]:
-            digest = hashlib.sha256((body or "").encode()).hexdigest()
-            kept.append(digest != last)
-            last = digest
-        state.update((last,))
-        yield rows[kept][["path", "body"]].rename(columns={"body": "value"})
 
-    keyed = documents.keyed(lines)
-    return keyed.groupBy(*keys).applyInPandasWithState(fresh, "path string, value string", "digest string", "append", GroupStateTimeout.NoTimeout)
+def _fresh(_, parts, state):
+    """A game's files, by path, that differ from the one before. Called for each game, mostly with one file: plain lists, since a
+    sort or a concatenation of frames takes longer than all else."""
+    import hashlib
+
+    import pandas as pd
+
+    last = state.get[0] if state.exists else None
+    paths, values = [], []
+    for path, body in sorted((r for part in parts for r in zip(part["path"], part["body"])), key=lambda r: r[0]):
+        digest = hashlib.sha256((body or "").encode()).hexdigest()
+        if digest != last:
+            paths.append(path)
+            values.append(body)
+        last = digest
+    state.update((last,))
+    if paths:
+        yield pd.DataFrame({"path": paths, "value": values})
 
 
 def replaced_games(old: DataFrame, new: DataFrame) -> DataFrame:
